@@ -3,20 +3,62 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sparkwright.llm import labelled
+from sparkwright.llm.decontaminate import contaminated
+from sparkwright.llm.mixing import mix_sources
 from sparkwright.llm.near_duplicates import near_duplicate_groups
+from sparkwright.llm.quality import score_quality, train_quality
+from sparkwright.llm.token_output import token_digest
+from sparkwright.llm.toxicity import score_toxicity, train_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train_toxicity(docs, _table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select("doc_id", labelled.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train_quality(docs, _table(spark, sf_dir, "labels"))
+    return score_quality(docs, model).select("doc_id", labelled.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", F.col("target").cast("double"), "copies", "taken")
+
+
 def op8_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op1_toxicity_fm": op1_toxicity_fm,
+    "op2_quality_knn": op2_quality_knn,
+    "op5_source_mix": op5_source_mix,
     "op8_minhash_groups": op8_minhash_groups,
+    "op9_token_ids": op9_token_ids,
+    "op10_benchmark_leaks": op10_benchmark_leaks,
 }
 
 ORACLE_SQL: dict[str, str] = {}
