@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from sparkwright.llm import labelled
 from sparkwright.llm.decontaminate import contaminated
+from sparkwright.llm.exact_search import top_inner_products
+from sparkwright.llm.html_text import extract_main_text
 from sparkwright.llm.mixing import mix_sources
 from sparkwright.llm.near_duplicates import near_duplicate_groups
 from sparkwright.llm.quality import score_quality, train_quality
+from sparkwright.llm.secret_scan import scan_secrets
 from sparkwright.llm.token_output import token_digest
 from sparkwright.llm.toxicity import score_toxicity, train_toxicity
+from sparkwright.llm.warc import warc_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +40,27 @@ def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", labelled.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op3_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_inner_products(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", F.col("target").cast("double"), "copies", "taken")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op8_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -55,7 +76,11 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity_fm": op1_toxicity_fm,
     "op2_quality_knn": op2_quality_knn,
+    "op3_kdtree_topk": op3_kdtree_topk,
+    "op4_html_text": op4_html_text,
     "op5_source_mix": op5_source_mix,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_warc_round_trip": op7_warc_round_trip,
     "op8_minhash_groups": op8_minhash_groups,
     "op9_token_ids": op9_token_ids,
     "op10_benchmark_leaks": op10_benchmark_leaks,

@@ -168,3 +168,20 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, id_col: str = "
     own = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     scored = own.mapInArrow(run, own.select(id_col).schema.add("score", "double"))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def filter_toxic(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, whose text scores below the threshold; decided in the one pass over the rows."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            at = 0
+            for part in labelled.slices(b.column(place).cast(pa.string())):
+                low = shared.value.scores(part) < threshold
+                yield b.slice(at, len(part)).filter(pa.array(low))
+                at += len(part)
+
+    return docs.mapInArrow(run, docs.schema)
