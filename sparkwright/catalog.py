@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sparkwright.plans import metrics, sequences, stats, tests, text
+from sparkwright.plans import metrics, sequences, stats, tests, text, vectors
 from sparkwright.registry import REGISTRY
 
-__all__ = ["ORACLE_SQL", "QUERIES", "metrics", "sequences", "stats", "tests", "text"]
+__all__ = ["ORACLE_SQL", "QUERIES", "metrics", "sequences", "stats", "tests", "text", "vectors"]
 
 QUERIES = REGISTRY.plans()
 ORACLE_SQL = REGISTRY.sql()
