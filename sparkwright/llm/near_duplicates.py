@@ -8,7 +8,7 @@ are confirmed on the full sets, so the estimate only saves work.
 A bucket never emits all its pairs. Members are compared with a few pivots of their bucket; after each round, links
 are contracted to components, and only buckets that still hold more than one component stay. At the end, the rows
 outside the largest component of such a bucket are compared with the bucket's other rows, under the bit-count filter
-in the join itself. The estimate has a margin of five standard errors, so a pair at the bound is lost with probability
+of longer signatures in the join itself. The estimate has a margin of five standard errors, so a pair at the bound is lost with probability
 3e-7; no other pair of a bucket is dropped.
 """
 
@@ -28,12 +28,13 @@ BANDS, ROWS, BITS = 24, 4, 2
 HASHES = BANDS * ROWS
 #: Pivots per bucket are chosen anew in this many rounds, before all that is left is compared.
 PIVOT_ROUNDS = 4
-LONGS = HASHES * BITS // 64
+#: Minima of the longer signatures of the few texts that are still open at the end.
+FINE = 1024
 _PAIRS = 0x5555555555555555
 
-_SEED = K.mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_A = (_SEED[:HASHES] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_B = (_SEED[HASHES:] >> np.uint64(32)).astype(np.uint32)
+_SEED = K.mix(np.arange(1, 2 * FINE + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_A = (_SEED[:FINE] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_B = (_SEED[FINE:] >> np.uint64(32)).astype(np.uint32)
 
 
 def shingle_sets(column: pa.Array, words: int):
@@ -61,12 +62,13 @@ def shingle_sets(column: pa.Array, words: int):
                 yield np.zeros(0, dtype=U)
 
 
-def minima(own: np.ndarray) -> np.ndarray:
-    """The minimum of every hash function over a set."""
+def minima(own: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """The minimum of each of the first so many hash functions over a set."""
     low = (own >> np.uint64(32)).astype(np.uint32)
-    out = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
+    out = np.full(hashes, 0xFFFFFFFF, dtype=np.uint32)
+    a, b = _A[:hashes, None], _B[:hashes, None]
     for at in range(0, len(low), 1024):
-        out = np.minimum(out, (_A[:, None] * low[None, at : at + 1024] + _B[:, None]).min(axis=1))
+        out = np.minimum(out, (a * low[None, at : at + 1024] + b).min(axis=1))
     return out
 
 
@@ -81,7 +83,7 @@ def band_keys(m: np.ndarray) -> np.ndarray:
 
 def packed_bits(m: np.ndarray) -> np.ndarray:
     """The two low bits of every mixed minimum, in longs."""
-    low = (K.mix(m.astype(np.uint64)) & np.uint64(3)).astype(np.uint64).reshape(LONGS, 32)
+    low = (K.mix(m.astype(np.uint64)) & np.uint64(3)).astype(np.uint64).reshape(-1, 32)
     return np.bitwise_or.reduce(low << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=1).view(np.int64)
 
 
@@ -113,15 +115,28 @@ def _sets(words: int):
     return run
 
 
-def estimated(a: Column, b: Column) -> Column:
+def _fine(batches):
+    for b in batches:
+        bits = [packed_bits(minima(np.asarray(x.values, dtype=np.int64).view(np.uint64), FINE)) for x in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits, pa.list_(pa.int64()))], names=["id", "bits"])
+
+
+def margin(percent: int, hashes: int) -> float:
+    """The similarity bound less five standard errors of the estimate at the bound."""
+    chance = 1.0 / 2**BITS
+    same = chance + (1 - chance) * percent / 100
+    return percent / 100 - 5 * (same * (1 - same) / hashes) ** 0.5 / (1 - chance)
+
+
+def estimated(a: Column, b: Column, hashes: int = HASHES) -> Column:
     """Collision-corrected similarity of two packed signatures: (share of equal lanes - 2^-b) / (1 - 2^-b)."""
     unequal = None
-    for k in range(LONGS):
+    for k in range(hashes * BITS // 64):
         x = a[k].bitwiseXOR(b[k])
         x = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(_PAIRS)))
         unequal = x if unequal is None else unequal + x
     chance = 1.0 / 2**BITS
-    return ((1.0 - unequal / F.lit(float(HASHES))) - chance) / (1.0 - chance)
+    return ((1.0 - unequal / F.lit(float(hashes))) - chance) / (1.0 - chance)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, floor: float) -> DataFrame:
@@ -160,8 +175,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         wanted.join(texts, "id").mapInArrow(_sets(words), "id long, set array<long>, bits array<long>"),
         "sets",
     )
-    same = 1.0 / 2**BITS + (1 - 1.0 / 2**BITS) * percent / 100
-    floor = percent / 100 - 5 * (same * (1 - same) / HASHES) ** 0.5 / (1 - 1.0 / 2**BITS)
+    floor = margin(percent, HASHES)
     labels = None
     links = None
     open_members = members
@@ -175,7 +189,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 met = _labelled(_labelled(met, labels, "id", "ca"), labels, "pivot", "cb").where("ca <> cb")
             pairs = met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         else:
-            pairs = _rest(ws, open_members, labels, sets, floor)
+            pairs = _rest(ws, open_members, labels, sets, margin(percent, FINE))
         pairs = ws.keep(pairs, f"pairs{turn}")
         new = ws.keep(_confirmed(pairs, sets, percent, floor), f"links{turn}")
         links = new if links is None else links.unionByName(new)
@@ -207,14 +221,15 @@ def _labelled(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFra
 def _rest(ws: Workspace, members: DataFrame, labels: DataFrame, sets: DataFrame, floor: float) -> DataFrame:
     """Pairs of different components in one bucket that pass the estimate: rows outside the bucket's largest component
     against all its rows, each pair once."""
-    known = ws.keep(_labelled(members, labels, "id", "comp").join(sets.select("id", "bits"), "id"), "rest")
+    fine = ws.keep(members.select("id").distinct().join(sets.select("id", "set"), "id").mapInArrow(_fine, "id long, bits array<long>"), "fine")
+    known = ws.keep(_labelled(members, labels, "id", "comp"), "rest")
     largest = known.groupBy("band", "comp").agg(F.count("*").alias("rows")).groupBy("band").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"))
     bands = members.groupBy("id").agg(F.collect_set("band").alias("bands"))  # at most BANDS of them
-    known = ws.keep(known.join(ws.keep(largest, "largest"), "band").withColumn("minor", F.col("comp") != F.col("main")).join(bands, "id"), "sides")
+    known = ws.keep(known.join(ws.keep(largest, "largest"), "band").withColumn("minor", F.col("comp") != F.col("main")).join(bands, "id").join(fine, "id"), "sides")
     a = known.where("minor").select("band", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("bits").alias("bx"), F.col("bands").alias("gx"))
     b = known.select("band", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("bits").alias("by"), F.col("bands").alias("gy"), "minor")
     unlike = (F.col("cx") != F.col("cy")) & (~F.col("minor") | (F.col("x") < F.col("y")))
     # a pair that shares several bands is met in the smallest of them
     once = a["band"] == F.array_min(F.array_intersect("gx", "gy"))
-    met = a.join(b, (a["band"] == b["band"]) & unlike & (estimated(F.col("bx"), F.col("by")) >= floor) & once)
+    met = a.join(b, (a["band"] == b["band"]) & unlike & (estimated(F.col("bx"), F.col("by"), FINE) >= floor) & once)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
