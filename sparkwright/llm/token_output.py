@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +19,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwright.llm.toxicity import _parts
-from sparkwright.llm.workspace import Workspace, ship, sized
+from sparkwright.llm.workspace import Workspace, ship, sized, small_batches, trimmed
 
 #: Bytes of a row group and of a page before compression.
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
 #: Words whose ids a worker remembers (about 200 bytes each).
-CACHED_WORDS = 700_000
+CACHED_WORDS = 300_000
 #: White space before a space.
 _RUN = re.compile(r"\s ")
+#: A word of letters of Latin scripts up to U+024F, and the ASCII punctuation after it.
+_LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\\[-`{-~]*)").fullmatch
 #: Appended to every document.
 END_ID = 2
 WRITE_OPTIONS = {
@@ -39,47 +42,81 @@ WRITE_OPTIONS = {
 }
 
 
-class WordCache:
-    """Ids of space-led words, so that a word of a worker's texts is encoded once.
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else one from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class WordCache(dict):
+    """Ids (as bytes) of space-led words, so that a word of a worker's texts is encoded once.
 
     A byte-level pre-tokenizer always starts a token at a space that follows a non-space, and its pattern looks back at
     nothing; so a text that is cut there encodes piece by piece to the same ids. Texts with a space after other white
-    space are encoded whole. The cache is emptied when it reaches ``size`` words.
+    space are encoded whole. A word of Latin letters alone is one token of the pre-tokenizer, so the model encodes it at
+    once, and punctuation after it is a token of its own. At most ``size`` words are kept, in two generations.
     """
 
     def __init__(self, tokenizer, size: int = CACHED_WORDS):
-        self.tokenizer, self.size, self.words = tokenizer, size, {}
+        self.tokenizer, self.size, self.older, self.tails = tokenizer, size, {}, {}
+        self._model, self._letters = tokenizer.model.tokenize, _byte_letters()
+        self._plain = type(tokenizer.pre_tokenizer).__name__ == "ByteLevel" and tokenizer.normalizer is None
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<i4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            parts = _LATIN(word) if self._plain else None
+            if parts is None:
+                ids = self._encode([" " + word])[0]
+            elif not parts[2]:
+                ids = array("i", [t.id for t in self._model("\u0120" + word.encode().decode("latin-1").translate(self._letters))]).tobytes()
+            else:
+                if parts[2] not in self.tails:
+                    self.tails[parts[2]] = self._encode([parts[2]])[0]
+                ids = self[parts[1]] + self.tails[parts[2]]
+        self[word] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self) > self.size // 2:
+            self.older = dict(self)
+            self.clear()
+            self.tails.clear()
         whole = [i for i, t in enumerate(texts) if _RUN.search(t)]
         out: list = [None] * len(texts)
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        cut = [(i, t.split(" ")) for i, t in enumerate(texts) if out[i] is None]
-        heads = self._encode([w[0] for _, w in cut])
-        if len(self.words) > self.size:
-            self.words.clear()
-        new = list(set().union(*(w[1:] for _, w in cut)) - self.words.keys())
-        self.words.update(zip(new, self._encode([" " + w for w in new]), strict=True))
-        known = self.words.__getitem__
-        for (i, w), head in zip(cut, heads, strict=True):
-            out[i] = head + b"".join(map(known, w[1:]))
+        known = self.__getitem__
+        cut = [(i, *t.split(" ", 1)) for i, t in enumerate(texts) if out[i] is None]
+        for (i, _, *rest), head in zip(cut, self._encode([c[1] for c in cut]), strict=True):
+            out[i] = head + b"".join(map(known, rest[0].split(" "))) if rest else head
         return out
 
 
-def _encoder(path: str, end_id: int):
-    end = np.array([end_id], dtype="<i4").tobytes()
+#: One cache for each tokenizer file in a Python worker, which Spark uses for many tasks.
+_CACHES: dict[str, WordCache] = {}
 
-    def run(batches):
+
+def _cache(path: str) -> WordCache:
+    if path not in _CACHES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        cache = WordCache(Tokenizer.from_file(path))
+        _CACHES[path] = WordCache(Tokenizer.from_file(path))
+    return _CACHES[path]
+
+
+def _encoder(path: str, end_id: int):
+    end = np.array([end_id], dtype="<i4").tobytes()
+
+    def run(batches):
+        cache = _cache(path)
         for b in batches:
-            for part in _parts(b, 2 << 20):
+            for part in _parts(b, 1 << 20):
                 ids = [x + end for x in cache.encode([t or "" for t in part.column(1).to_pylist()])]
                 bounds = np.cumsum([0, *(len(x) // 4 for x in ids)])
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
@@ -98,39 +135,42 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "d
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # the ids fit a range of the sorted order; equal ids differ by their texts' hash, so a repeated id can be dealt out
     dealt = own.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(_encoder(tokenizer, end_id), "doc_id long, ids array<int>, n_tokens long").write.mode("overwrite").options(**WRITE_OPTIONS).parquet(path)
+    coded = dealt.mapInArrow(trimmed(_encoder(tokenizer, end_id)), "doc_id long, ids array<int>, n_tokens long")
+    with small_batches(docs.sparkSession):
+        coded.write.mode("overwrite").options(**WRITE_OPTIONS).parquet(path)
 
 
-def _crc(batches):
+def _digests(batches):
+    """Metadata and the checksum of each row's ids, taken from the list column's buffer."""
     for b in batches:
-        lists = b.column(3)
+        lists = b.column(1)
         flat = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False), dtype="<u4")
         bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
         sums = [zlib.crc32(flat[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(sums, pa.int64()), b.column(2), b.column(3)], names=["doc_id", "n_tokens", "ids_crc32", "file", "row"])
 
 
-def token_index(spark, path: str, ws: Workspace) -> DataFrame:
-    """(doc_id, file, row, start): where each document's ids begin in the whole sequence. Only metadata columns are read.
+def with_starts(rows: DataFrame, ws: Workspace) -> DataFrame:
+    """Adds start: where each row's ids begin in the whole sequence, from (file, row, n_tokens).
 
     Totals of the files (one row each) are summed in name order; within a file, a running sum follows the row order.
     """
-    rows = spark.read.parquet(path).select("doc_id", "n_tokens", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     bases = ws.keep(totals.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")), "bases")
     within = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    run = rows.select("doc_id", "file", "row", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("within"))
-    return run.join(sized(bases), "file").select("doc_id", "file", "row", (F.col("base") + F.col("within")).alias("start"))
+    run = rows.withColumn("within", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
+    return run.join(sized(bases), "file").withColumn("start", F.col("base") + F.col("within"))
 
 
 def token_digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the files, read them back, and return per document doc_id, start, n_tokens, ids_crc32 (of the ids as
-    little-endian unsigned 32-bit integers). An empty table gives an empty one."""
+    little-endian unsigned 32-bit integers). The ids themselves are never shuffled after they are written. An empty
+    table gives an empty one."""
     spark = docs.sparkSession
     ws = Workspace(spark, "tokens")
     path = ws.file("ids")
     write_token_ids(docs, path, tokenizer, id_col, text_col)
-    index = ws.keep(token_index(spark, path, ws).select("file", "row", "start"), "index")
-    body = spark.read.parquet(path).select("doc_id", "n_tokens", "ids", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return body.join(index, ["file", "row"]).select("doc_id", "start", "n_tokens", "ids").mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    body = spark.read.parquet(path).select("doc_id", "ids", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    rows = ws.keep(body.mapInArrow(trimmed(_digests), "doc_id long, n_tokens long, ids_crc32 long, file string, row long"), "digests")
+    return with_starts(rows, ws).select("doc_id", "start", "n_tokens", "ids_crc32")
