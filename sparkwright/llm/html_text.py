@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sparkwright.llm import textkernel as K
 from sparkwright.llm.toxicity import _parts
-from sparkwright.llm.workspace import Workspace
+from sparkwright.llm.workspace import Workspace, trimmed
 
 #: Pages that a class, and distinct pages that a host must have for a template.
 MIN_PAGES = 8
@@ -186,7 +186,7 @@ def _mix(x: int) -> int:
 
 def host_templates(ws: Workspace, pages: DataFrame) -> DataFrame:
     """(host, tokens): the text tokens in valid classes. Pages are (id, url, html)."""
-    seen = pages.mapInArrow(_occurrences, _OCCURRENCES)
+    seen = pages.mapInArrow(trimmed(_occurrences), _OCCURRENCES)
     tokens = seen.groupBy("host", "token", "kind").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"))
     # tokens of one or a few pages can be in no valid class; contents are counted for the host
     tokens = ws.keep(tokens.where((F.col("kind") == 2) | (F.col("pages") >= MIN_PAGES)), "tokens")
@@ -271,4 +271,4 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
         templates = F.broadcast(templates)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern, 1))
     joined = own.withColumn("host", host).join(templates, "host", "left").select("id", "url", "tokens", "html")
-    return joined.mapInArrow(_extract, _TEXTS).withColumnsRenamed({"page_id": id_col, "url": url_col})
+    return joined.mapInArrow(trimmed(_extract), _TEXTS).withColumnsRenamed({"page_id": id_col, "url": url_col})

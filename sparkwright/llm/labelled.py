@@ -44,7 +44,7 @@ def sorted_unique(docs: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndar
     return bounds, (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def slices(column: pa.Array, size: int = 4 << 20):
+def slices(column: pa.Array, size: int = 1 << 20):
     """Parts of a string column with about so many bytes each."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

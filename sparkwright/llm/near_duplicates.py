@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sparkwright.llm import components
 from sparkwright.llm import textkernel as K
-from sparkwright.llm.workspace import Workspace
+from sparkwright.llm.workspace import Workspace, trimmed
 
 #: A pair at similarity 0.85 shares no band with probability (1 - 0.85 ** ROWS) ** BANDS = 2e-8.
 BANDS, ROWS, BITS = 24, 4, 2
@@ -161,7 +161,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     ws = Workspace(spark, "neardup")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    seen = ws.keep(texts.mapInArrow(_signatures(words), "id long, n long, d1 long, d2 long, bands array<long>"), "signatures")
+    seen = ws.keep(texts.mapInArrow(trimmed(_signatures(words)), "id long, n long, d1 long, d2 long, bands array<long>"), "signatures")
     key = ["n", "d1", "d2"]
     # distinct sets; the smallest id stands for each
     classes = ws.keep(seen.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep")), "classes")
@@ -172,7 +172,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     wanted = ws.keep(members.select("id").distinct(), "wanted")
     # full sets only of texts that share a band with another; rows that repeat an id with one text count once
     sets = ws.keep(
-        wanted.join(texts, "id").mapInArrow(_sets(words), "id long, set array<long>, bits array<long>"),
+        wanted.join(texts, "id").mapInArrow(trimmed(_sets(words)), "id long, set array<long>, bits array<long>"),
         "sets",
     )
     floor = margin(percent, HASHES)
@@ -221,7 +221,7 @@ def _labelled(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFra
 def _rest(ws: Workspace, members: DataFrame, labels: DataFrame, sets: DataFrame, floor: float) -> DataFrame:
     """Pairs of different components in one bucket that pass the estimate: rows outside the bucket's largest component
     against all its rows, each pair once."""
-    fine = ws.keep(members.select("id").distinct().join(sets.select("id", "set"), "id").mapInArrow(_fine, "id long, bits array<long>"), "fine")
+    fine = ws.keep(members.select("id").distinct().join(sets.select("id", "set"), "id").mapInArrow(trimmed(_fine), "id long, bits array<long>"), "fine")
     known = ws.keep(_labelled(members, labels, "id", "comp"), "rest")
     largest = known.groupBy("band", "comp").agg(F.count("*").alias("rows")).groupBy("band").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"))
     bands = members.groupBy("id").agg(F.collect_set("band").alias("bands"))  # at most BANDS of them

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from sparkwright.llm import labelled
 from sparkwright.llm import textkernel as K
 from sparkwright.llm.toxicity import _parts
-from sparkwright.llm.workspace import Workspace, ship
+from sparkwright.llm.workspace import Workspace, ship, trimmed
 
 #: Columns of the hashed term space, latent directions, voters, labelled rows of each class at most.
 SPACE, RANK, NEIGHBOURS, ROWS_PER_CLASS = 4096, 48, 15, 2000
@@ -169,7 +169,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """Fit on up to ``rows`` labelled texts of each class that are not held out."""
     ws = Workspace(docs.sparkSession, "quality")
     sample = labelled.training_rows(ws, docs, labels, id_col, text_col, label_col, rows)
-    found = sample.mapInArrow(_sample_counts, sample.select("k", "label").schema.add("terms", T.ArrayType(T.IntegerType())).add("counts", T.ArrayType(T.FloatType()))).toArrow().sort_by("k")
+    found = sample.mapInArrow(trimmed(_sample_counts), sample.select("k", "label").schema.add("terms", T.ArrayType(T.IntegerType())).add("counts", T.ArrayType(T.FloatType()))).toArrow().sort_by("k")
     counts = np.zeros((found.num_rows, SPACE), dtype=np.float32)
     for i, (t, c) in enumerate(zip(found["terms"].to_numpy(), found["counts"].to_numpy(), strict=True)):
         counts[i, t] = c
@@ -191,5 +191,5 @@ def score_quality(docs: DataFrame, model: LatentVoter, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.asarray(shared.value.scores(part.column(1)), dtype=float))], names=[id_col, "score"])
 
     own = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    scored = own.mapInArrow(run, own.select(id_col).schema.add("score", "double"))
+    scored = own.mapInArrow(trimmed(run), own.select(id_col).schema.add("score", "double"))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; longer texts are cut at white space.
-WINDOW = 1 << 21
+WINDOW = 1 << 18
 _POWERS = 512
 U = np.uint64
 

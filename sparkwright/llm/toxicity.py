@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from sparkwright.llm import labelled
 from sparkwright.llm import textkernel as K
-from sparkwright.llm.workspace import Workspace, ship
+from sparkwright.llm.workspace import Workspace, ship, trimmed
 
 #: Hash space of terms, terms kept by screening, factors of a term.
 SPACE_BITS, TERMS, FACTORS = 20, 4096, 8
@@ -136,7 +136,7 @@ def _sample_terms(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["k", "label", "terms"])
 
 
-def _parts(b: pa.RecordBatch, size: int = 4 << 20):
+def _parts(b: pa.RecordBatch, size: int = 1 << 20):
     at = 0
     for part in labelled.slices(b.column(b.num_columns - 1), size):
         yield b.slice(at, len(part))
@@ -147,7 +147,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """Fit on up to ``rows`` labelled texts of each class that are not held out."""
     ws = Workspace(docs.sparkSession, "toxicity")
     sample = labelled.training_rows(ws, docs, labels, id_col, text_col, label_col, rows)
-    found = sample.mapInArrow(_sample_terms, sample.select("k", "label").schema.add("terms", T.ArrayType(T.IntegerType()))).toArrow().sort_by("k")
+    found = sample.mapInArrow(trimmed(_sample_terms), sample.select("k", "label").schema.add("terms", T.ArrayType(T.IntegerType()))).toArrow().sort_by("k")
     return fit([(label, t) for label, t in zip(found["label"].to_pylist(), found["terms"].to_numpy(), strict=True)])
 
 
@@ -166,7 +166,7 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, id_col: str = "
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.scores(part.column(1)))], names=[id_col, "score"])
 
     own = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    scored = own.mapInArrow(run, own.select(id_col).schema.add("score", "double"))
+    scored = own.mapInArrow(trimmed(run), own.select(id_col).schema.add("score", "double"))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
@@ -184,4 +184,4 @@ def filter_toxic(docs: DataFrame, model: FactorizationMachine, text_col: str = "
                 yield b.slice(at, len(part)).filter(pa.array(low))
                 at += len(part)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -7,16 +7,22 @@ pruned, and a later join of two such tables has an exchange on both sides, which
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a table of a few fixed-width columns is broadcast (some tens of MB); beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Bytes of an Arrow batch that is sent to a Python worker.
+BATCH_BYTES = "8m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +51,34 @@ def ship(spark: SparkSession) -> None:
     context._sparkwright_shipped = True
 
 
+def trimmed(run):
+    """A function of Arrow batches that gives freed memory back to the system when its task ends: Spark keeps Python
+    workers for later tasks, and several may be idle at once."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # no glibc
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return inner
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = BATCH_BYTES):
+    """For actions inside: Arrow batches of at most so many bytes, so that long texts don't fill a worker's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Workspace:
     """A folder of intermediate tables; deleted by ``drop`` or when the driver's process ends."""
 
@@ -60,7 +94,8 @@ class Workspace:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write a table once and read it back with its known schema."""
         path = self.file(name)
-        df.write.mode("overwrite").parquet(path)
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def remove(self, name: str) -> None:
