@@ -58,7 +58,7 @@ def ranking_quality(df: DataFrame, score: str, truth: str) -> DataFrame:
         ratio(area, F.max("p").cast("double") * F.max("n")).alias("auroc"),
         ratio(F.sum(F.col("dt") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.max("p")).alias("average_precision"),
         F.max(2.0 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("p"))).alias("best_f1"),
-        F.max(F.col("tp") / F.col("p") - F.col("fp") / F.col("n")).alias("ks"),
+        F.max(ratio(F.col("tp"), F.col("p")) - ratio(F.col("fp"), F.col("n"))).alias("ks"),
     )
 
 
