@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sparkwright.plans import metrics, relational, sequences, series, stats, streams, tables, tests, text, vectors
+from sparkwright.plans import metrics, more, relational, sequences, series, stats, streams, tables, tests, text, vectors
 from sparkwright.registry import REGISTRY
 
-__all__ = ["ORACLE_SQL", "QUERIES", "metrics", "relational", "sequences", "series", "stats", "streams", "tables", "tests", "text", "vectors"]
+__all__ = ["ORACLE_SQL", "QUERIES", "metrics", "more", "relational", "sequences", "series", "stats", "streams", "tables", "tests", "text", "vectors"]
 
 QUERIES = REGISTRY.plans()
 ORACLE_SQL = REGISTRY.sql()
