@@ -13,7 +13,7 @@ from sparkwright.llm import textkernel as K
 from sparkwright.llm.workspace import Workspace
 
 #: Labelled rows of each class that a classifier is fitted on, at most (a documented bound; smallest hash of the id first).
-TRAIN_ROWS_PER_CLASS = 3000
+TRAIN_ROWS_PER_CLASS = 2500
 #: Held-out rows are those whose crc32 of the id as text leaves this remainder by FOLDS.
 FOLDS, HELD_OUT = 3, 1
 

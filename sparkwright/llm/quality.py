@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from sparkwright.llm import labelled
 from sparkwright.llm import textkernel as K
 from sparkwright.llm.toxicity import _parts
-from sparkwright.llm.workspace import Workspace, ship, trimmed
+from sparkwright.llm.workspace import Workspace, ship, trim, trimmed
 
 #: Columns of the hashed term space, latent directions, voters, labelled rows of each class at most.
 SPACE, RANK, NEIGHBOURS, ROWS_PER_CLASS = 4096, 48, 15, 2000
@@ -173,7 +173,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     counts = np.zeros((found.num_rows, SPACE), dtype=np.float32)
     for i, (t, c) in enumerate(zip(found["terms"].to_numpy(), found["counts"].to_numpy(), strict=True)):
         counts[i, t] = c
-    return fit(counts, found["label"].to_numpy())
+    model = fit(counts, found["label"].to_numpy())
+    del counts, found
+    trim()
+    return model
 
 
 def score_quality(docs: DataFrame, model: LatentVoter, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from sparkwright.llm import labelled
 from sparkwright.llm import textkernel as K
-from sparkwright.llm.workspace import Workspace, ship, trimmed
+from sparkwright.llm.workspace import Workspace, ship, trim, trimmed
 
 #: Hash space of terms, terms kept by screening, factors of a term.
 SPACE_BITS, TERMS, FACTORS = 20, 4096, 8
@@ -148,7 +148,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     ws = Workspace(docs.sparkSession, "toxicity")
     sample = labelled.training_rows(ws, docs, labels, id_col, text_col, label_col, rows)
     found = sample.mapInArrow(trimmed(_sample_terms), sample.select("k", "label").schema.add("terms", T.ArrayType(T.IntegerType()))).toArrow().sort_by("k")
-    return fit([(label, t) for label, t in zip(found["label"].to_pylist(), found["terms"].to_numpy(), strict=True)])
+    model = fit([(label, t) for label, t in zip(found["label"].to_pylist(), found["terms"].to_numpy(), strict=True)])
+    del found
+    trim()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

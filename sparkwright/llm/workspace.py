@@ -51,6 +51,14 @@ def ship(spark: SparkSession) -> None:
     context._sparkwright_shipped = True
 
 
+def trim() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def trimmed(run):
     """A function of Arrow batches that gives freed memory back to the system when its task ends: Spark keeps Python
     workers for later tasks, and several may be idle at once."""
@@ -59,10 +67,7 @@ def trimmed(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # no glibc
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            trim()
 
     return inner
 
