@@ -81,8 +81,14 @@ def randomness(token: Column) -> Column:
     for _, pattern, letters in reversed(ALPHABETS):
         alphabet = F.when(body.rlike(pattern), F.lit(letters)).otherwise(alphabet)
     fit = F.when(body.rlike("[0-9]") & body.rlike("[A-Za-z]") & (F.length(body) >= 20), alphabet)
-    symbols = F.transform(F.filter(F.split(body, ""), lambda c: c != ""), lambda c: F.instr(fit, c) - 1)
-    return F.transform(F.array(F.struct(fit.alias("letters"), symbols.alias("x"))), _battery)[0]
+    symbols = F.when(fit.isNotNull(), F.transform(F.filter(F.split(body, ""), lambda c: c != ""), lambda c: F.instr(fit, c) - 1))
+    # each transform of one element binds a value, so that no inner function computes it again for every symbol
+    bound = F.transform(F.array(F.struct(fit.alias("letters"), symbols.alias("x"))), _with_mean)
+    return F.transform(bound, _battery)[0]
+
+
+def _with_mean(t: Column) -> Column:
+    return F.struct(t["letters"].alias("letters"), t["x"].alias("x"), (F.aggregate(t["x"], F.lit(0.0), lambda s, v: s + v) / F.size(t["x"])).alias("mean"))
 
 
 def _battery(t: Column) -> Column:
@@ -98,7 +104,7 @@ def _battery(t: Column) -> Column:
     mid = 2 * high * (n - high) / n + 1
     spread = (mid - 1) * (mid - 2) / (n - 1)
     p_runs = F.when(spread > 0, 2 * upper_tail(F.abs(changes + 1 - mid) / F.sqrt(F.greatest(spread, F.lit(1e-9))))).otherwise(zero)
-    mean = F.aggregate(x, zero, lambda s, v: s + v) / n
+    mean = t["mean"]
     around = F.aggregate(x, zero, lambda s, v: s + (v - mean) * (v - mean))
     product = F.aggregate(pairs, zero, lambda s, p: s + (p["a"] - mean) * (p["b"] - mean))
     p_serial = F.when(around > 0, 2 * upper_tail(F.abs(product / F.greatest(around, F.lit(1e-9)) + 1 / n) * F.sqrt(n))).otherwise(zero)
