@@ -2,8 +2,13 @@
 
 A mask keeps some of ``SPAN`` consecutive word positions and ignores the rest, so a window still hashes alike after
 words at ignored positions were replaced. Seeds of all benchmark windows are joined with the seeds of all corpus
-windows; around each hit, the item is laid over the text and equal words are found. The positions of an item that
-some alignment matches, over its length, are its coverage.
+windows; around each hit, the item is laid over the text and equal words are found. An alignment counts if it reaches
+the coverage alone, or if some ``RUN`` consecutive words of the item have ``RUN_EQUAL`` equal ones. The positions of an
+item that some counted alignment matches, over its length, are its coverage.
+
+The masks are all ways to keep 3 of 5 places. If no 5 consecutive places of an item of n = 5 q + r words had 3 equal
+words, at most 2 q + min(r, 2) were equal, which is less than 0.6 n for every n from 5; so each alignment with a
+coverage of 0.6 is hit, wherever its words were replaced. 8 equal words of 12 are hit for the same reason.
 
 The corpus is never shuffled: words, windows, seeds, the join with the (size-checked) seed table and the alignment run
 in one stage. Only matched positions of hits are aggregated. A benchmark too large to broadcast is joined by shuffle.
@@ -16,9 +21,11 @@ from pyspark.sql import functions as F
 
 from sparkwright.llm.workspace import Workspace, sized
 
-#: Masks of weight 8 over 12 words; 1 is compared, 0 ignored.
-MASKS = ("111101011001", "110110010111", "111010110101")
-SPAN = 12
+#: All masks of weight 3 over up to 5 words; 1 is compared, 0 ignored.
+MASKS = ("111", "1101", "1011", "11001", "10101", "10011")
+SPAN = 5
+#: Parts of an item count from so many equal words of so many.
+RUN, RUN_EQUAL = 12, 8
 #: Words of one segment of a text; segments overlap by the longest item, so each alignment lies whole in one.
 SEGMENT = 2048
 #: Items of fewer words are not looked for: they are found in clean texts by chance.
@@ -37,14 +44,36 @@ def _seed(mask: str, at: list[Column], number: int) -> Column:
     return F.when(at[len(mask) - 1].isNotNull(), F.xxhash64(F.lit(number), *kept))
 
 
-def _windows(df: DataFrame, array: str, span: int, masks: list[tuple[int, str]], keep: list[str]) -> DataFrame:
-    """One row per window and mask: pos (from 0) and seed. ``array`` holds the words of a segment."""
-    names = [f"w{k}" for k in range(span)]
-    shifted = [F.slice(F.col(array), F.lit(k + 1), F.size(array)).alias(names[k]) for k in range(span)]
+def _windows(df: DataFrame, array: str, keep: list[str]) -> DataFrame:
+    """One row per window and mask: pos (from 0), mask and seed. ``array`` holds the words of a segment."""
+    names = [f"w{k}" for k in range(SPAN)]
+    shifted = [F.slice(F.col(array), F.lit(k + 1), F.size(array)).alias(names[k]) for k in range(SPAN)]
     rows = df.select(*keep, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "win"))
     at = [F.col("win")[n] for n in names]
-    seeds = F.array(*(_seed(m, at, k) for k, m in masks))
-    return rows.select(*keep, "pos", F.explode(seeds).alias("seed")).where("seed is not null")
+    seeds = F.array(*(_seed(m, at, k) for k, m in enumerate(MASKS)))
+    return rows.select(*keep, "pos", F.posexplode(seeds).alias("mask", "seed")).where("seed is not null")
+
+
+def _first() -> Column:
+    """Whether a hit is the first of its dense stretch of equal words: no equal word lies between its own, and none
+    before them makes a hit with its first two. Each alignment with a hit has one like this, and a copy only one."""
+    same = {j: F.coalesce(F.get("part", F.col("pos") + j) == F.get("words", F.col("ipos") + j), F.lit(False)) for j in range(1 - SPAN, SPAN)}
+    out = F.lit(False)
+    for k, mask in enumerate(MASKS):
+        second = mask.index("1", 1)
+        others = [j for j in range(second - SPAN + 1, len(mask)) if j < 0 or mask[j] == "0"]
+        own = F.lit(True)
+        for j in others:
+            own = own & ~same[j]
+        out = F.when(F.col("mask") == k, own).otherwise(out)
+    return out
+
+
+def _counts(equal: Column, n: Column, coverage: float) -> Column:
+    """Whether the equal places of an alignment are enough of the item, or RUN_EQUAL of some RUN consecutive ones."""
+    last = F.size(equal) - RUN_EQUAL
+    run = F.exists(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.get(equal, k + RUN_EQUAL - 1) - F.get(equal, k) < RUN)
+    return (F.size(equal) / n >= coverage) | ((last >= 0) & F.coalesce(run, F.lit(False)))
 
 
 def contaminated(
@@ -60,29 +89,24 @@ def contaminated(
 
     Returns doc id, item id, matched (distinct item positions that alignments around hits match), item_words, coverage
     (rounded to 6 places); one row per pair, clean texts have none. Words are lower-case runs of letters and digits.
-    Items of 5 to 11 words are found by their whole word sequence, longer ones by spaced seeds, shorter or null ones
-    never. Null or empty texts and null ids match nothing; rows that repeat an id are one document, rows that repeat an
+    Every item of at least 5 words that some alignment covers to ``coverage`` is found, for any coverage from 0.6; below
+    that, alignments without 3 equal words of 5 consecutive ones are missed. Pieces of an item at several places of a
+    text (after words were put in or left out) add up if each has 8 equal words of 12. Shorter or null items are never
+    found. Null or empty texts and null ids match nothing; rows that repeat an id are one document, rows that repeat an
     item one item. Only the named columns are read. Empty tables give no rows.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "decontaminate")
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), words(F.col(item_text_col)).alias("words")).where("item is not null").distinct()
     items = ws.keep(items.withColumn("len", F.size("words")).where(F.col("len") >= MIN_WORDS), "items")
-    shape = items.agg(F.max("len").alias("longest"), F.collect_set(F.when(F.col("len") < SPAN, F.col("len"))).alias("short")).first()
-    longest, short = shape["longest"] or 0, sorted(shape["short"])
-    masks = [(k, m) for k, m in enumerate(MASKS)]
-    short_masks = [(100 + n, "1" * n) for n in short]  # at most SPAN - MIN_WORDS of them
-    seeds = _windows(items.where(F.col("len") >= SPAN), "words", SPAN, masks, ["item"])
-    for number, mask in short_masks:
-        own = _windows(items.where(F.col("len") == len(mask)), "words", SPAN, [(number, mask)], ["item"])
-        seeds = seeds.unionByName(own)
-    # of equal seeds within an item one place is enough: alignments are united below
-    seeds = ws.keep(seeds.groupBy("seed", "item").agg(F.min("pos").alias("ipos")), "seeds")
+    longest = items.agg(F.max("len")).first()[0] or 0
+    # a seed that an item repeats keeps all its places: each is another alignment
+    seeds = ws.keep(_windows(items, "words", ["item"]).select("seed", "mask", "item", F.col("pos").alias("ipos")), "seeds")
     split = docs.select(F.col(id_col).cast("long").alias("doc"), words(F.col(text_col)).alias("all")).where("doc is not null")
     starts = F.sequence(F.lit(0), F.greatest(F.size("all") - 1, F.lit(0)), F.lit(SEGMENT))
     parts = split.select("doc", "all", F.explode(starts).alias("start")).select("doc", F.slice("all", F.col("start") + 1, F.lit(SEGMENT + longest + SPAN)).alias("part"))
-    hits = _windows(parts, "part", SPAN, masks + short_masks, ["doc", "part"]).join(sized(seeds, SEED_ROWS), "seed")
-    laid = hits.join(sized(items.select("item", "words", "len"), SEED_ROWS // 10), "item").select(
+    hits = _windows(parts, "part", ["doc", "part"]).drop("mask").join(sized(seeds, SEED_ROWS), "seed")
+    laid = hits.join(sized(items.select("item", "words", "len"), SEED_ROWS // 10), "item").where(_first()).select(
         "doc",
         "item",
         "len",
@@ -93,7 +117,9 @@ def contaminated(
     first = F.greatest(-F.col("shift"), F.lit(0))
     positions = F.sequence(F.lit(0), F.greatest(F.size("under") - 1, F.lit(0)))
     matched = F.filter(positions, lambda k: (k + first < F.col("len")) & (F.get("under", k) == F.get("words", k + first)))
-    places = laid.select("doc", "item", "len", F.explode(F.transform(matched, lambda k: k + first)).alias("place")).distinct()
+    # the transform of one element binds the equal places, so that no inner function finds them again
+    counted = F.transform(F.array(F.transform(matched, lambda k: k + first)), lambda e: F.when(_counts(e, F.col("len"), coverage), e))[0]
+    places = laid.select("doc", "item", "len", F.explode(counted).alias("place")).distinct()
     pairs = places.groupBy("doc", "item").agg(F.count("*").alias("matched"), F.max("len").cast("long").alias("item_words"))
     share = F.col("matched") / F.col("item_words")
     return pairs.where(share >= coverage).select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "matched", "item_words", F.round(share, 6).alias("coverage"))

@@ -149,6 +149,25 @@ def test_leaks_with_substitutions(spark):
     assert not {d for d, _ in got if d >= 300}
 
 
+def test_leaks_at_the_bound_are_all_found(spark):
+    """Items of 5 words and more with two fifths of their words replaced, anywhere; one word more is too many."""
+    random.seed(3)
+    word = lambda: "".join(random.choices("abcdefghij", k=5))
+    items = [(i, [word() for _ in range(n)]) for i, n in enumerate((5, 6, 8, 9, 11, 12, 13, 15, 15, 20, 25, 60))]
+    items.append((12, ["a", "b", "c", *(word() for _ in range(6)), "a", "b", "c"]))
+    docs = []
+    for i, text in items:
+        most = 2 * len(text) // 5
+        tries = [random.sample(range(len(text)), most) for _ in range(20)] + [[k for k in range(len(text)) if k % 5 in (1, 3)][:most]]
+        for t, gone in enumerate((*tries, random.sample(range(len(text)), most + 1))):
+            docs.append((100 * i + t, " ".join([word() for _ in range(40)] + [word() if k in gone else w for k, w in enumerate(text)] + [word() for _ in range(t)])))
+    # only the second of two equal seeds is left
+    docs.append((5000, " ".join(["x"] * 40 + [w if k > 4 else "y" for k, w in enumerate(items[12][1])])))
+    got = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()}
+    assert {(100 * i + t, i) for i, _ in items for t in range(21)} <= got
+    assert not {d for d, _ in got if d % 100 == 21 and d < 5000}
+
+
 def test_leaks_odd_rows(spark):
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve thirteen"), (1, "one two three four five six seven eight nine ten eleven twelve thirteen"), (2, None), (None, "a b c d e f g h i j k l m n"), (3, ""), (4, "the " * 40)], "item_id long, text string").withColumn("seed", F.lit(1))
     docs = spark.createDataFrame([(1, "x One two, three four five six seven eight nine ten eleven twelve thirteen y"), (1, "other"), (None, "one two three four five six seven eight nine ten eleven twelve thirteen"), (2, None), (3, ""), (4, "the " * 9000)], "doc_id long, text string").withColumn("item_id", F.lit("clash"))
