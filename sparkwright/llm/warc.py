@@ -29,7 +29,7 @@ MAGIC = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
 #: Bytes scanned by a task; payload bytes from which equal ones are stored once; records of a file at most.
 BLOCK, REVISIT_FROM, FILE_RECORDS = 8 << 20, 100, 20_000
-#: A header is at most so long; a candidate without an end of header before that is none.
+#: Bytes of a header that are read at first; longer ones are read on, four times as far each time.
 HEADER = 64 << 10
 DATE = "2024-01-01T00:00:00Z"
 
@@ -88,21 +88,38 @@ _LENGTH = re.compile(rb"\r\nContent-Length: *(\d+)\r\n", re.IGNORECASE)
 
 def _header(data: bytes, at: int) -> tuple[int, int] | None:
     """(bytes of the header with its blank line, content length) of a record at this place, if it is well formed."""
-    end = data.find(b"\r\n\r\n", at, at + HEADER)
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         return None
     found = _LENGTH.search(data, at, end + 2)
     return (end + 4 - at, int(found[1])) if found else None
 
 
+def _long_header(f, at: int, size: int, more: int = HEADER) -> tuple[int, int] | None:
+    """The same of the record at this place of a file, however long its header is."""
+    while True:
+        data = f.read_at(min(more, size - at), at)
+        if b"\r\n\r\n" in data or more >= size - at:
+            return _header(data, 0)
+        more *= 4
+
+
 def _scan(batches):
     """Candidate records of each block (file, from, to, size): offset, and the offset where its chain leaves the block."""
     for b in batches:
         for name, lo, hi, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
             with _open(name) as f:
                 data = f.read_at(min(size, hi + HEADER) - lo, lo)
+                at = [m.start() for m in re.finditer(re.escape(MAGIC), data[: hi - lo + len(MAGIC) - 1])]
+                last = data.rfind(b"\r\n\r\n")
+                if at and at[-1] > last and lo + len(data) < size:
+                    # headers that the read cuts off end at the same blank line: it is looked for once, from the first of them
+                    begin = next(k for k in at if k > last)
+                    head_end, more = -1, 4 * (len(data) - begin)
+                    while head_end < 0 and lo + len(data) < size:
+                        data += f.read_at(min(more, size - lo - len(data)), lo + len(data))
+                        head_end, more = data.find(b"\r\n\r\n", begin), 4 * more
             leave: dict[int, int] = {}
-            at = [m.start() for m in re.finditer(re.escape(MAGIC), data[: hi - lo + len(MAGIC) - 1])]
             for k in reversed(at):
                 head = _header(data, k)
                 if head:
@@ -125,10 +142,9 @@ def _read(batches):
             rows, held = [], 0
             with _open(name) as f:
                 while at < min(hi, size):
-                    head = f.read_at(min(HEADER, size - at), at)
-                    skip, length = _header(head, 0)
-                    block = f.read_at(length, at + skip)
-                    rows.append(_fields(head[:skip], block))
+                    skip, length = _long_header(f, at, size)
+                    block = f.read_at(skip + length, at)
+                    rows.append(_fields(block[:skip], block[skip:]))
                     held += length
                     at += skip + length + len(END)
                     if held > 4 << 20:

@@ -92,3 +92,16 @@ def test_warc_rejects_magic_in_payloads(spark, block):
     assert (1, (fake * 9).encode()) in payloads
     warc.write_warc(ws, df.limit(0), ws.file("b"))
     assert warc.read_warc(ws, ws.file("b")).count() == 0
+
+
+@pytest.mark.parametrize("block", [1000, 70_000, 1 << 20])
+def test_warc_keeps_very_long_urls(spark, block):
+    """Headers longer than a first read, at a file's start, where a block is entered, one after another and at the end."""
+    long = lambda n: "data:," + "u" * n
+    pages = [(0, long(300_000), "a"), (1, "http://a/", "b" * 200), (2, long(66_000), ""), (3, long(1_200_000), None), (4, "http://b/", "WARC/1.1\r\n" * 9), (5, long(70_000), "c")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    ws = Workspace(spark, "test")
+    for name, rows in (("first", df.orderBy("page_id")), ("last", df.orderBy(F.desc("page_id")))):
+        warc.write_warc(ws, rows, ws.file(name))
+        got = warc.read_warc(ws, ws.file(name), block=block).collect()
+        assert sorted((r.page_id, r.url, bytes(r.payload).decode()) for r in got) == [(i, u, h or "") for i, u, h in pages]
