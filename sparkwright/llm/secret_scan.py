@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a randomness test battery, with DataFrame functions only.
 
 Patterns give the base spans. Beside them, every run of 20 or more token characters that has a letter and a digit is a
-candidate. Its encoding is inferred from its characters (hex, base 32, lower-case or upper-case alphanumeric, base 64);
+candidate. A run that no encoding fits, such as NAME=value or path/token_x, is cut at its equals signs, and a part that
+still fits none gives its longest pieces that do, and those between any symbols (they may overlap). A candidate's encoding is inferred from its characters (hex, base 32, lower-case or upper-case alphanumeric, base 64);
 its symbols, as places in that alphabet, are tested for being random:
 
 * chi-squared uniformity over the alphabet (Wilson-Hilferty),
@@ -29,6 +30,10 @@ ASSIGN_LEAST = 6
 KINDS = ("assign", "access", "hex", "random")
 #: Characters of a candidate, at least.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: What an encoding fits; parts of a run that none fits, and pieces of a part that none fits. The last keep their padding.
+FITS = r"^(?:[A-Za-z0-9+/]+|[A-Za-z0-9_-]+)=*$"
+PART = r"[A-Za-z0-9+/_-]{20,}(?:=+$)?"
+PIECES = (r"[A-Za-z0-9+/]{20,}(?:=+$)?", r"[A-Za-z0-9_-]{20,}(?:=+$)?", r"[A-Za-z0-9]{20,}(?:=+$)?")
 # fixed values: alphabets of the encodings, in the order in which they are tried
 ALPHABETS = (
     ("hex", r"^[0-9a-f]+$", "0123456789abcdef"),
@@ -62,6 +67,24 @@ def matches(text: Column, pattern: str, group: int | None = None) -> Column:
     return F.when(text.rlike(pattern), F.aggregate(pieces, start, step, lambda s: s["out"])).otherwise(start["out"])
 
 
+def candidates(text: Column) -> Column:
+    """array<struct<start, end, found>> of the runs of token characters, or of what of them an encoding fits."""
+
+    def own(m: Column, at: Column | int = 0) -> Column:
+        return F.struct((m["start"] + at).alias("start"), (m["end"] + at).alias("end"), m["found"].alias("found"))
+
+    def pieces(part: Column) -> Column:
+        found = F.concat(*(matches(part["found"], p) for p in PIECES))
+        return F.array_distinct(F.transform(found, lambda m: own(m, part["start"])))
+
+    def parts(run: Column) -> Column:
+        cut = F.transform(matches(run["found"], PART), lambda m: own(m, run["start"]))
+        return F.flatten(F.transform(cut, lambda m: F.when(m["found"].rlike(FITS), F.array(own(m))).otherwise(pieces(m))))
+
+    runs = matches(text, TOKEN)
+    return F.flatten(F.transform(runs, lambda m: F.when(m["found"].rlike(FITS), F.array(own(m))).otherwise(parts(m))))
+
+
 def upper_tail(z: Column) -> Column:
     """P(normal > z), within a few hundredths of its value even far out (Karagiannidis and Lioumpas)."""
     a = F.greatest(F.abs(z), F.lit(1e-9))
@@ -135,7 +158,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         _kind(F.filter(matches(F.col("text"), ASSIGN, 2), lambda m: F.length(m["part"]) >= ASSIGN_LEAST), 0).alias("assign"),
         _kind(matches(F.col("text"), ACCESS), 1).alias("access"),
         _kind(matches(F.col("text"), HEX), 2).alias("hex"),
-        matches(F.col("text"), TOKEN).alias("tokens"),
+        candidates(F.col("text")).alias("tokens"),
     )
     tested = F.transform("tokens", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), randomness(m["found"]).alias("p")))
     found = found.select("id", "assign", "access", "hex", F.filter(tested, lambda m: m["p"].isNotNull()).alias("tested"))
