@@ -1,19 +1,23 @@
 """b-bit MinHash near-duplicate groups.
 
-Texts with equal shingle sets form a class first, so thousands of copies cost one row. Each class gets ``HASHES``
-minima; bands of ``ROWS`` minima give candidate buckets, the low ``BITS`` bits of every mixed minimum are packed into
-longs, and the collision-corrected similarity of a candidate pair comes from bit counts. Pairs above a generous bound
-are confirmed on the full sets, so the estimate only saves work.
-
-A bucket never emits all its pairs. Members are compared with a few pivots of their bucket; after each round, links
-are contracted to components, and only buckets that still hold more than one component stay. At the end, the rows
-outside the largest component of such a bucket are compared with the bucket's other rows, under the bit-count filter
-of longer signatures in the join itself. The estimate has a margin of five standard errors, so a pair at the bound is lost with probability
-3e-7; no other pair of a bucket is dropped.
+Texts with equal shingle sets form a class first, so thousands of copies cost one row. Each class gets minima in bands
+of ``ROWS``; equal bands give candidate buckets, the low ``BITS`` bits of every mixed minimum are packed into longs, and
+the collision-corrected similarity of a candidate pair comes from bit counts. Pairs above a generous bound are
+confirmed on the full sets, so the estimate only saves work.
+
+A bucket never emits all its pairs. In each of a few rounds a row meets one pivot: of the pivots of its buckets that are
+not in its component, the one with which it shares most buckets. Links are contracted to components, and only buckets
+that still hold more than one component stay. At the end, the rows outside the largest component of such a bucket are
+compared with the bucket's other rows, under the bit-count filter of longer signatures in the join itself; of these
+pairs the likeliest of every two components is confirmed first, then those whose components still differ. The estimate
+has a margin of five standard errors, so a pair at the bound is lost with probability 3e-7; no other pair of a bucket
+is dropped.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,11 +27,12 @@ from sparkwright.llm import components
 from sparkwright.llm import textkernel as K
 from sparkwright.llm.workspace import Workspace, trimmed
 
-#: A pair at similarity 0.85 shares no band with probability (1 - 0.85 ** ROWS) ** BANDS = 2e-8.
-BANDS, ROWS, BITS = 24, 4, 2
-HASHES = BANDS * ROWS
-#: Pivots per bucket are chosen anew in this many rounds, before all that is left is compared.
-PIVOT_ROUNDS = 4
+#: Minima of a band, and bits kept of a minimum.
+ROWS, BITS = 4, 2
+#: A pair at the similarity bound shares no band with at most this probability; that sets the number of bands.
+MISSED = 1e-6
+#: A row meets one pivot in each of this many rounds, before all that is left is compared.
+PIVOT_ROUNDS = 2
 #: Minima of the longer signatures of the few texts that are still open at the end.
 FINE = 1024
 _PAIRS = 0x5555555555555555
@@ -62,7 +67,13 @@ def shingle_sets(column: pa.Array, words: int):
                 yield np.zeros(0, dtype=U)
 
 
-def minima(own: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+def bands_for(percent: int) -> int:
+    """Bands (a multiple of 8, so that minima fill longs) that keep the chance of missing a pair at the bound below MISSED."""
+    fewest = math.log(MISSED) / math.log1p(-min((percent / 100) ** ROWS, 1 - 1e-9))
+    return min(FINE // ROWS, 8 * max(1, math.ceil(fewest / 8)))
+
+
+def minima(own: np.ndarray, hashes: int) -> np.ndarray:
     """The minimum of each of the first so many hash functions over a set."""
     low = (own >> np.uint64(32)).astype(np.uint32)
     out = np.full(hashes, 0xFFFFFFFF, dtype=np.uint32)
@@ -73,8 +84,8 @@ def minima(own: np.ndarray, hashes: int = HASHES) -> np.ndarray:
 
 
 def band_keys(m: np.ndarray) -> np.ndarray:
-    rows = m.reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    rows = m.reshape(-1, ROWS).astype(np.uint64)
+    key = np.arange(1, len(rows) + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for r in range(ROWS):
             key = K.mix(key * np.uint64(3) + rows[:, r])
@@ -87,7 +98,7 @@ def packed_bits(m: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(low << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=1).view(np.int64)
 
 
-def _signatures(words: int):
+def _signatures(words: int, hashes: int):
     def run(batches):
         for b in batches:
             ids, out = b.column(0), {k: [] for k in ("n", "d1", "d2", "bands")}
@@ -96,7 +107,7 @@ def _signatures(words: int):
                     out["n"].append(len(own))
                     out["d1"].append(np.sum(K.mix(own + np.uint64(11)), dtype=np.uint64))
                     out["d2"].append(np.sum(K.mix(own * np.uint64(5) + np.uint64(7)), dtype=np.uint64))
-                    out["bands"].append(band_keys(minima(own)) if len(own) else None)
+                    out["bands"].append(band_keys(minima(own, hashes)) if len(own) else None)
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(out["n"], pa.int64()), *(pa.array(np.array(out[k], dtype=np.uint64).view(np.int64)) for k in ("d1", "d2")), pa.array(out["bands"], pa.list_(pa.int64()))],
                 names=["id", "n", "d1", "d2", "bands"],
@@ -105,20 +116,21 @@ def _signatures(words: int):
     return run
 
 
-def _sets(words: int):
+def _sets(words: int, hashes: int):
     def run(batches):
         for b in batches:
             own = list(shingle_sets(b.column(1), words))
-            bits = [packed_bits(minima(x)) if len(x) else None for x in own]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["id", "set", "bits"])
+            bits = [packed_bits(minima(x, hashes)) if len(x) else None for x in own]
+            sizes = pa.array([len(x) for x in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), sizes, pa.array(bits, pa.list_(pa.int64())), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], names=["id", "n", "bits", "set"])
 
     return run
 
 
 def _fine(batches):
     for b in batches:
-        bits = [packed_bits(minima(np.asarray(x.values, dtype=np.int64).view(np.uint64), FINE)) for x in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits, pa.list_(pa.int64()))], names=["id", "bits"])
+        bits = [packed_bits(minima(np.asarray(x.values, dtype=np.int64).view(np.uint64), FINE)) for x in b.column(2)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.list_(pa.int64()))], names=["id", "n", "bits"])
 
 
 def margin(percent: int, hashes: int) -> float:
@@ -128,7 +140,7 @@ def margin(percent: int, hashes: int) -> float:
     return percent / 100 - 5 * (same * (1 - same) / hashes) ** 0.5 / (1 - chance)
 
 
-def estimated(a: Column, b: Column, hashes: int = HASHES) -> Column:
+def estimated(a: Column, b: Column, hashes: int) -> Column:
     """Collision-corrected similarity of two packed signatures: (share of equal lanes - 2^-b) / (1 - 2^-b)."""
     unequal = None
     for k in range(hashes * BITS // 64):
@@ -139,14 +151,22 @@ def estimated(a: Column, b: Column, hashes: int = HASHES) -> Column:
     return ((1.0 - unequal / F.lit(float(hashes))) - chance) / (1.0 - chance)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, floor: float) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity. Both joins are on written tables, so skewed keys are split."""
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"), F.col("bits").alias("ba"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"), F.col("bits").alias("bb"))
-    both = pairs.join(left, "a").join(right, "b").where(estimated(F.col("ba"), F.col("bb")) >= floor)
+def _alike(a: Column, b: Column, na: Column, nb: Column, hashes: int, percent: int) -> Column:
+    """Whether sizes and the estimate leave open that two sets reach the similarity."""
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (estimated(a, b, hashes) >= margin(percent, hashes))
+
+
+def _confirmed(ws: Workspace, pairs: DataFrame, sets: DataFrame, hashes: int, percent: int, name: str) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity. Sets are read only for pairs that pass the estimate. All
+    joins are on written tables, so skewed keys are split."""
+    narrow = lambda side: sets.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits{side}"))
+    near = pairs.join(narrow("a"), "a").join(narrow("b"), "b").where(_alike(F.col("bitsa"), F.col("bitsb"), F.col("na"), F.col("nb"), hashes, percent))
+    near = ws.keep(near.select("a", "b"), f"near-{name}")
+    whole = lambda side: sets.select(F.col("id").alias(side), F.col("set").alias(f"s{side}"))
+    both = near.join(whole("a"), "a").join(whole("b"), "b")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
     union = F.size("sa") + F.size("sb") - shared
-    return both.where(100 * shared >= percent * union).select("a", "b")
+    return ws.keep(both.where(100 * shared >= percent * union).select("a", "b"), f"links-{name}")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -160,8 +180,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "neardup")
+    hashes = ROWS * bands_for(percent)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    seen = ws.keep(texts.mapInArrow(trimmed(_signatures(words)), "id long, n long, d1 long, d2 long, bands array<long>"), "signatures")
+    seen = ws.keep(texts.mapInArrow(trimmed(_signatures(words, hashes)), "id long, n long, d1 long, d2 long, bands array<long>"), "signatures")
     key = ["n", "d1", "d2"]
     # distinct sets; the smallest id stands for each
     classes = ws.keep(seen.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep")), "classes")
@@ -170,39 +191,24 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     buckets = entries.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("band")
     members = ws.keep(entries.join(ws.keep(buckets, "buckets"), "band").distinct(), "members")
     wanted = ws.keep(members.select("id").distinct(), "wanted")
-    # full sets only of texts that share a band with another; rows that repeat an id with one text count once
-    sets = ws.keep(
-        wanted.join(texts, "id").mapInArrow(trimmed(_sets(words)), "id long, set array<long>, bits array<long>"),
-        "sets",
-    )
-    floor = margin(percent, HASHES)
-    labels = None
-    links = None
-    open_members = members
-    for turn in range(PIVOT_ROUNDS + 1):
-        if turn < PIVOT_ROUNDS:
-            # the smallest id first; then another member in every band, so that a text meets up to BANDS others a round
-            order = F.col("id") if turn == 0 else F.xxhash64("id", "band", F.lit(turn))
-            pivots = ws.keep(open_members.groupBy("band").agg(F.min_by("id", order).alias("pivot")), f"pivots{turn}")
-            met = open_members.join(pivots, "band").where("id <> pivot")
-            if labels is not None:
-                met = _labelled(_labelled(met, labels, "id", "ca"), labels, "pivot", "cb").where("ca <> cb")
-            pairs = met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        else:
-            pairs = _rest(ws, open_members, labels, sets, margin(percent, FINE))
-        pairs = ws.keep(pairs, f"pairs{turn}")
-        new = ws.keep(_confirmed(pairs, sets, percent, floor), f"links{turn}")
-        links = new if links is None else links.unionByName(new)
-        labels = components.component_labels(ws, links, f"round{turn}")
-        if turn < PIVOT_ROUNDS:
-            mixed = ws.keep(_labelled(open_members, labels, "id", "comp"), f"mixed{turn}")
-            still = mixed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-            still = ws.keep(still, f"open{turn}")
-            if still.isEmpty():
-                break
-            open_members = ws.keep(mixed.join(still, "band").select("band", "id"), f"members{turn}")
-    found = ws.keep(_labelled(classes, labels, "rep", "component_id").select(*key, "component_id"), "found")
-    out = seen.select("id", *key).join(found, key, "left")
+    # full sets only of texts that share a band with another; rows that repeat an id are one document of all their shingles
+    made = wanted.join(texts, "id").mapInArrow(trimmed(_sets(words, hashes)), "id long, n long, bits array<long>, set array<long>")
+    sets = ws.keep(made, "sets")
+    links, labels = None, None
+    for turn in range(PIVOT_ROUNDS):
+        if not (met := _pivot_pairs(ws, members, labels, turn)):
+            break
+        links, labels = _linked(ws, links, labels, _confirmed(ws, met, sets, hashes, percent, f"round{turn}"), f"round{turn}")
+        members = _open(ws, members, labels, f"round{turn}")
+    if not members.isEmpty():
+        left = _rest(ws, members, labels, sets, percent)
+        # first the likeliest pair of every two components, then those pairs whose components still differ
+        best = left.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("alike", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b")
+        links, labels = _linked(ws, links, labels, _confirmed(ws, ws.keep(best, "best"), sets, hashes, percent, "best"), "best")
+        still = _labelled(_labelled(left.select("a", "b"), labels, "a", "ca"), labels, "b", "cb").where("ca <> cb").select("a", "b")
+        links, labels = _linked(ws, links, labels, _confirmed(ws, ws.keep(still, "still"), sets, hashes, percent, "still"), "still")
+    found = _labelled(classes, labels, "rep", "component_id") if labels is not None else classes.withColumn("component_id", F.col("rep"))
+    out = seen.select("id", *key).join(ws.keep(found.select(*key, "component_id"), "found"), key, "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(
         F.col("id").alias(id_col),
@@ -218,18 +224,49 @@ def _labelled(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFra
     return df.join(known, node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def _rest(ws: Workspace, members: DataFrame, labels: DataFrame, sets: DataFrame, floor: float) -> DataFrame:
-    """Pairs of different components in one bucket that pass the estimate: rows outside the bucket's largest component
-    against all its rows, each pair once."""
-    fine = ws.keep(members.select("id").distinct().join(sets.select("id", "set"), "id").mapInArrow(trimmed(_fine), "id long, bits array<long>"), "fine")
+def _linked(ws: Workspace, links: DataFrame | None, labels: DataFrame | None, new: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """All links so far and the components that they make."""
+    if links is not None and new.isEmpty():
+        return links, labels
+    links = new if links is None else links.unionByName(new)
+    return links, components.component_labels(ws, links, name)
+
+
+def _pivot_pairs(ws: Workspace, members: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame | None:
+    """At most one pair (a, b) for each row: with that pivot of another component with which it shares most buckets.
+
+    The order that chooses a bucket's pivot is the same in all buckets of a round, so alike rows meet few pivots."""
+    if members.isEmpty():
+        return None
+    order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+    pivots = ws.keep(members.groupBy("band").agg(F.min_by("id", order).alias("pivot")), f"pivots{turn}")
+    met = members.join(pivots, "band").where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("bands"))
+    if labels is not None:
+        met = _labelled(_labelled(ws.keep(met, f"met{turn}"), labels, "id", "ca"), labels, "pivot", "cb").where("ca <> cb")
+    one = met.groupBy("id").agg(F.max_by("pivot", F.struct("bands", -F.col("pivot"))).alias("pivot"))
+    return ws.keep(one.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), f"pairs{turn}")
+
+
+def _open(ws: Workspace, members: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """The members of the buckets that hold more than one component."""
+    mixed = ws.keep(_labelled(members, labels, "id", "comp"), f"mixed-{name}")
+    still = mixed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
+    return ws.keep(mixed.join(ws.keep(still, f"open-{name}"), "band").select("band", "id"), f"members-{name}")
+
+
+def _rest(ws: Workspace, members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ca, cb, alike): pairs of different components in one bucket that pass the estimate: rows outside the
+    bucket's largest component against all its rows, each pair once."""
+    fine = ws.keep(members.select("id").distinct().join(sets.select("id", "n", "set"), "id").mapInArrow(trimmed(_fine), "id long, n long, bits array<long>"), "fine")
     known = ws.keep(_labelled(members, labels, "id", "comp"), "rest")
     largest = known.groupBy("band", "comp").agg(F.count("*").alias("rows")).groupBy("band").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"))
-    bands = members.groupBy("id").agg(F.collect_set("band").alias("bands"))  # at most BANDS of them
+    bands = members.groupBy("id").agg(F.collect_set("band").alias("bands"))  # at most one of each band
     known = ws.keep(known.join(ws.keep(largest, "largest"), "band").withColumn("minor", F.col("comp") != F.col("main")).join(bands, "id").join(fine, "id"), "sides")
-    a = known.where("minor").select("band", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("bits").alias("bx"), F.col("bands").alias("gx"))
-    b = known.select("band", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("bits").alias("by"), F.col("bands").alias("gy"), "minor")
+    a = known.where("minor").select("band", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("bits").alias("bx"), F.col("bands").alias("gx"))
+    b = known.select("band", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("bits").alias("by"), F.col("bands").alias("gy"), "minor")
     unlike = (F.col("cx") != F.col("cy")) & (~F.col("minor") | (F.col("x") < F.col("y")))
     # a pair that shares several bands is met in the smallest of them
     once = a["band"] == F.array_min(F.array_intersect("gx", "gy"))
-    met = a.join(b, (a["band"] == b["band"]) & unlike & (estimated(F.col("bx"), F.col("by"), FINE) >= floor) & once)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    met = a.join(b, (a["band"] == b["band"]) & unlike & _alike(F.col("bx"), F.col("by"), F.col("nx"), F.col("ny"), FINE, percent) & once)
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("cx", "cy").alias("ca"), F.greatest("cx", "cy").alias("cb"), estimated(F.col("bx"), F.col("by"), FINE).alias("alike"))
+    return ws.keep(pairs, "left")

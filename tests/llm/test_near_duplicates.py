@@ -1,7 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
-from sparkwright.llm.near_duplicates import near_duplicate_groups
+from sparkwright.llm.near_duplicates import bands_for, near_duplicate_groups
 from sparkwright.llm.queries import QUERIES
+from sparkwright.llm.workspace import Workspace
 from tests.llm import brute
 
 
@@ -39,3 +41,24 @@ def test_odd_rows(spark):
     assert by_id == {1: (2, 1, True), 2: (2, 1, False), 3: (0, 3, True), 4: (0, 4, True), 5: (0, 5, True), 6: (1, 6, True), 7: (1, 6, False), 8: (1, 8, True), 9: (1, 9, True)}
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
     assert near_duplicate_groups(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("rows", [200, 800])
+def test_pairs_of_a_family_grow_as_its_rows(spark, monkeypatch, rows):
+    """Of a family whose members are near one another but hardly linked, each round meets a pivot for each row."""
+    import random
+
+    met = {}
+    keep = Workspace.keep
+    monkeypatch.setattr(Workspace, "keep", lambda self, df, name: met.setdefault(name, keep(self, df, name)))
+    random.seed(4)
+    base = [f"w{k}" for k in range(60)]
+    docs = [(i, " ".join(f"x{random.randrange(10**6)}" if random.random() < 0.04 else w for w in base)) for i in range(rows)]
+    got = near_duplicate_groups(spark.createDataFrame(docs, "doc_id long, text string"), words=3, percent=85)
+    assert {r[0]: tuple(r[1:]) for r in got.collect()} == brute.groups(docs, 3, 85)
+    assert all(met[n].count() <= rows for n in met if n.startswith("pairs"))
+
+
+def test_bands_follow_the_similarity():
+    for percent in (50, 70, 80, 85, 95, 100):
+        assert bands_for(percent) % 8 == 0 and (1 - (percent / 100) ** 4) ** bands_for(percent) <= 1e-6
