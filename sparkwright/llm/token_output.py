@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from array import array
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwright.llm.toxicity import _parts
@@ -25,10 +27,12 @@ from sparkwright.llm.workspace import Workspace, ship, sized, small_batches, tri
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
 #: Words whose ids a worker remembers (about 200 bytes each).
 CACHED_WORDS = 300_000
-#: White space before a space.
-_RUN = re.compile(r"\s ")
-#: A word of letters of Latin scripts up to U+024F, and the ASCII punctuation after it.
-_LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\\[-`{-~]*)").fullmatch
+#: White space before a space or a line feed.
+_RUN = re.compile(r"\s[ \n]")
+_ASCII_RUNS = tuple(a + b for a in " \n\t\r\v\f\x1c\x1d\x1e\x1f" for b in " \n")
+#: Letters of Latin scripts up to U+024F; ASCII punctuation.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+_MARKS = string.punctuation
 #: Appended to every document.
 END_ID = 2
 WRITE_OPTIONS = {
@@ -42,58 +46,80 @@ WRITE_OPTIONS = {
 }
 
 
-def _byte_letters() -> dict[int, str]:
-    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else one from U+0100 on."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-
-
 class WordCache(dict):
-    """Ids (as bytes) of space-led words, so that a word of a worker's texts is encoded once.
-
-    A byte-level pre-tokenizer always starts a token at a space that follows a non-space, and its pattern looks back at
-    nothing; so a text that is cut there encodes piece by piece to the same ids. Texts with a space after other white
-    space are encoded whole. A word of Latin letters alone is one token of the pre-tokenizer, so the model encodes it at
-    once, and punctuation after it is a token of its own. At most ``size`` words are kept, in two generations.
+    """Ids (as bytes) of words led by a space, or by a line feed that is part of the key, so that a word of a worker's
+    texts is encoded once.
+
+    A byte-level pre-tokenizer always starts a token at a space or line feed that follows a non-space, and its pattern
+    looks back at nothing; so a text that is cut there encodes piece by piece to the same ids. Texts with white space
+    before one of the two are encoded whole. For the same reason the unknown words of a batch are encoded as one text,
+    whose ids are cut where a token starts with the lead. Punctuation after a word of Latin letters is a token of its
+    own. At most ``size`` words are kept, in two generations.
     """
 
     def __init__(self, tokenizer, size: int = CACHED_WORDS):
         self.tokenizer, self.size, self.older, self.tails = tokenizer, size, {}, {}
-        self._model, self._letters = tokenizer.model.tokenize, _byte_letters()
+        # the byte-level letters of a space and of a line feed
         self._plain = type(tokenizer.pre_tokenizer).__name__ == "ByteLevel" and tokenizer.normalizer is None
+        vocabulary = tokenizer.get_vocab()
+        self._starts = {lead: np.zeros(max(vocabulary.values()) + 1, dtype=bool) for lead in " \n"}
+        for token, i in vocabulary.items():
+            for lead, letter in ((" ", "\u0120"), ("\n", "\u010a")):
+                self._starts[lead][i] = token.startswith(letter)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            parts = _LATIN(word) if self._plain else None
-            if parts is None:
-                ids = self._encode([" " + word])[0]
-            elif not parts[2]:
-                ids = array("i", [t.id for t in self._model("\u0120" + word.encode().decode("latin-1").translate(self._letters))]).tobytes()
-            else:
-                if parts[2] not in self.tails:
-                    self.tails[parts[2]] = self._encode([parts[2]])[0]
-                ids = self[parts[1]] + self.tails[parts[2]]
-        self[word] = ids
-        return ids
+    def _together(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of words that all follow the lead (which is not in the words)."""
+        if words and self._plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([lead + lead.join(words)], add_special_tokens=False)[0].ids, dtype="<i4")
+            at = np.flatnonzero(self._starts[lead][ids])
+            if len(at) == len(words):
+                raw, cuts = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+                return [raw[i:j] for i, j in pairwise(cuts)]
+        return self._encode([lead + w for w in words])
+
+    def _learn(self, words: set[str]) -> None:
+        older = self.older
+        self.update({w: older[w] for w in words if w in older})
+        new = [w for w in words if w not in older]
+        lines = [w[1:] for w in new if w[:1] == "\n"]
+        plain = [w for w in new if w[:1] != "\n"]
+        tailed: list[tuple[str, str]] = []
+        if self._plain:
+            bare = [w.rstrip(_MARKS) for w in plain]
+            tailed = [(w, base) for w, base in zip(plain, bare, strict=True) if len(base) < len(w) and _LATIN(base)]
+            bases = {base for _, base in tailed}.difference(self)
+            self.update({w: older[w] for w in bases if w in older})
+            plain = {w for w, base in zip(plain, bare, strict=True) if len(base) == len(w) or not _LATIN(base)}.union(w for w in bases if w not in older)
+        # a word without characters, at a text's end, is the lead alone
+        if "" in plain:
+            self[""] = self._encode([" "])[0]
+        plain = [w for w in plain if w]
+        self.update(zip(plain, self._together(plain, " "), strict=True))
+        self.update(zip(["\n" + w for w in lines], self._together(lines, "\n"), strict=True))
+        tails = list({w[len(base) :] for w, base in tailed}.difference(self.tails))
+        self.tails.update(zip(tails, self._encode(tails), strict=True))
+        self.update({w: self[base] + self.tails[w[len(base) :]] for w, base in tailed})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self) > self.size // 2:
             self.older = dict(self)
             self.clear()
             self.tails.clear()
-        whole = [i for i, t in enumerate(texts) if _RUN.search(t)]
         out: list = [None] * len(texts)
+        whole = [i for i, t in enumerate(texts) if (any(r in t for r in _ASCII_RUNS) if t.isascii() else _RUN.search(t))]
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
+        cut = [(i, *t.replace("\n", " \n").split(" ")) for i, t in enumerate(texts) if out[i] is None]
+        words: set[str] = set()
+        for _, _, *rest in cut:
+            words.update(rest)
+        self._learn(words.difference(self))
         known = self.__getitem__
-        cut = [(i, *t.split(" ", 1)) for i, t in enumerate(texts) if out[i] is None]
         for (i, _, *rest), head in zip(cut, self._encode([c[1] for c in cut]), strict=True):
-            out[i] = head + b"".join(map(known, rest[0].split(" "))) if rest else head
+            out[i] = head + b"".join(map(known, rest)) if rest else head
         return out
 
 
@@ -153,9 +179,10 @@ def _digests(batches):
 def with_starts(rows: DataFrame, ws: Workspace) -> DataFrame:
     """Adds start: where each row's ids begin in the whole sequence, from (file, row, n_tokens).
 
-    Totals of the files (one row each) are summed in name order; within a file, a running sum follows the row order.
+    Totals of the files (one row each) are summed in the order of the tasks that wrote them, which is not that of the
+    names beyond 100,000 tasks; within a file, a running sum follows the row order.
     """
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.regexp_extract("file", r"part-(\d+)", 1).cast("long"), "file").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     bases = ws.keep(totals.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")), "bases")
     within = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
@@ -163,6 +190,20 @@ def with_starts(rows: DataFrame, ws: Workspace) -> DataFrame:
     return run.join(sized(bases), "file").withColumn("start", F.col("base") + F.col("within"))
 
 
+def read_token_ids(spark: SparkSession, path: str, first: int | None = None, last: int | None = None, ids: bool = True) -> DataFrame:
+    """doc_id, n_tokens and, if asked, ids of the documents from ``first`` to ``last``, both included; null is no bound.
+
+    Files are in doc_id order, so the bounds skip files and row groups by their statistics and pages by the page index;
+    without ids, only the two narrow columns are read. Null doc_ids are given only without bounds.
+    """
+    rows = spark.read.schema("doc_id long, ids array<int>, n_tokens long").parquet(path)
+    if first is not None:
+        rows = rows.where(F.col("doc_id") >= first)
+    if last is not None:
+        rows = rows.where(F.col("doc_id") <= last)
+    return rows.select("doc_id", "n_tokens", *(["ids"] if ids else []))
+
+
 def token_digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the files, read them back, and return per document doc_id, start, n_tokens, ids_crc32 (of the ids as
     little-endian unsigned 32-bit integers). The ids themselves are never shuffled after they are written. An empty
