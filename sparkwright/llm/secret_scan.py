@@ -2,17 +2,22 @@
 
 Patterns give the base spans. Beside them, every run of 20 or more token characters that has a letter and a digit is a
 candidate. A run that no encoding fits, such as NAME=value or path/token_x, is cut at its equals signs, and a part that
-still fits none gives its longest pieces that do, and those between any symbols (they may overlap). A candidate's encoding is inferred from its characters (hex, base 32, lower-case or upper-case alphanumeric, base 64);
-its symbols, as places in that alphabet, are tested for being random:
+still fits none gives its longest pieces that do, and those between any symbols (they may overlap). A candidate's
+encoding is inferred from its characters (hex, base 32, lower-case or upper-case alphanumeric, base 64); its symbols, as
+places in that alphabet, are tested for being random:
 
 * chi-squared uniformity over the alphabet (Wilson-Hilferty),
 * runs above and below the middle of the alphabet (Wald-Wolfowitz),
 * serial correlation at lag 1.
 
-The smallest of the three p-values, times three, is the candidate's. Over all candidates of the corpus, a weighted
-Benjamini-Hochberg step rejects randomness; weights are proportional to length, as long candidates can be told apart
-with more power, and have mean 1. Candidates that are not rejected, and that don't overlap a base span, are added. The
-step needs only counts of p-values on a fixed grid, so nothing is sorted over the corpus.
+A candidate that the battery rejects (smallest of the three p-values, times three, below ALPHA) is not random. Passing
+is no evidence by itself, as short tokens pass for want of power. So the rest are tested against the opposite null
+hypothesis, that they are written by people: runs of one kind of character (a capital leads a run of small letters) are
+at least 1 / RUN_RATE long on average, and letters coincide as they do in English. The p-values of that test go through
+a weighted Benjamini-Hochberg step over all candidates of the corpus; weights are proportional to length, as long
+candidates can be told apart with more power, and have mean 1. So among the spans that are added, the expected share of
+written ones is at most LEVEL. Discoveries that don't overlap a base span are added. The step needs only counts of
+p-values on a fixed grid, so nothing is sorted over the corpus.
 """
 
 from __future__ import annotations
@@ -44,8 +49,17 @@ ALPHABETS = (
     ("base64", r"^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", r"^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
-#: Share of random candidates among the rejected ones that is tolerated; p-values are counted at 10 ** (-k / GRID).
+#: Share of written tokens among the added ones that is tolerated; p-values are counted at 10 ** (-k / GRID).
 LEVEL, GRID, DECADES = 0.05, 8, 40
+#: The battery rejects below this.
+ALPHA = 0.01
+#: Runs of one kind of character in written tokens, per character, at most.
+RUN_RATE = 0.25
+RUN = r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+"
+# fixed values: sums of the squares and of the cubes of the shares of letters in English, and the share of A to F
+SQUARES, CUBES, HEX_LETTERS = 0.0655, 0.00535, 0.316
+#: Matches whose starts are summed at once; the blocks of so many are summed after that.
+BLOCK = 512
 
 
 def matches(text: Column, pattern: str, group: int | None = None) -> Column:
@@ -56,7 +70,7 @@ def matches(text: Column, pattern: str, group: int | None = None) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("found"), part.alias("part"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string,part:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int,found:string,part:string>>")
 
     def step(state: Column, piece: Column) -> Column:
         begin = state["at"] + F.length(piece["gap"])
@@ -64,7 +78,18 @@ def matches(text: Column, pattern: str, group: int | None = None) -> Column:
         own = F.struct(begin.alias("start"), end.alias("end"), piece["found"].alias("found"), piece["part"].alias("part"))
         return F.struct(F.coalesce(end, begin).alias("at"), F.when(piece["found"].isNull(), state["out"]).otherwise(F.array_append(state["out"], own)).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(pieces, start, step, lambda s: s["out"])).otherwise(start["out"])
+    def block(own: Column) -> Column:
+        return F.aggregate(own, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def chain(state: Column, own: Column) -> Column:
+        begin = state["at"]
+        moved = F.transform(own["out"], lambda m: F.struct((m["start"] + begin).alias("start"), (m["end"] + begin).alias("end"), m["found"].alias("found"), m["part"].alias("part")))
+        return F.struct((begin + own["at"]).alias("at"), F.array_append(state["out"], moved).alias("out"))
+
+    # appending copies an array, so blocks of matches are summed each by itself, and then the blocks
+    of_blocks = F.transform(F.array(pieces), lambda all_: F.transform(F.sequence(F.lit(0), F.size(all_) - 1, F.lit(BLOCK)), lambda k: block(F.slice(all_, k + 1, F.lit(BLOCK)))))[0]
+    blocks = F.aggregate(of_blocks, F.struct(F.lit(0).alias("at"), F.array(none).alias("out")), chain, lambda s: F.flatten(s["out"]))
+    return F.when(text.rlike(pattern), blocks).otherwise(none)
 
 
 def candidates(text: Column) -> Column:
@@ -110,6 +135,22 @@ def randomness(token: Column) -> Column:
     return F.transform(bound, _battery)[0]
 
 
+def written(token: Column) -> Column:
+    """The p-value of a token's being written by people: runs and coincidences of letters, or hex digits alone."""
+    n = F.length(token).cast("double")
+    runs = (F.regexp_count(token, F.lit(RUN)) - 1 - RUN_RATE * (n - 1)) / F.sqrt(RUN_RATE * (1 - RUN_RATE) * (n - 1))
+    folded = F.lower(token)
+    letters = F.regexp_count(folded, F.lit("[a-z]")).cast("double")
+    count = lambda c: (F.length(folded) - F.length(F.replace(folded, c, F.lit("")))).cast("double")
+    alphabet = F.array(*(F.lit(chr(c)) for c in range(97, 123)))
+    equal = F.aggregate(alphabet, F.lit(0.0), lambda s, c: s + count(c) * (count(c) - 1))
+    pairs = letters * (letters - 1)
+    spread = 4 * pairs * (letters - 2) * CUBES + 2 * pairs * SQUARES - pairs * (4 * letters - 6) * SQUARES**2
+    unequal = F.when(spread > 0, (pairs * SQUARES - equal) / F.sqrt(F.greatest(spread, F.lit(1e-9)))).otherwise(0.0)
+    hexes = F.when(token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.pow(F.lit(HEX_LETTERS), letters)).otherwise(1.0)
+    return F.least(2 * F.least(upper_tail((runs + unequal) / 2**0.5), hexes), F.lit(1.0))
+
+
 def _with_mean(t: Column) -> Column:
     return F.struct(t["letters"].alias("letters"), t["x"].alias("x"), (F.aggregate(t["x"], F.lit(0.0), lambda s, v: s + v) / F.size(t["x"])).alias("mean"))
 
@@ -149,7 +190,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Returns one row per input row: id, n_assign, n_access, n_hex (base spans of each kind), base_sha256 (of the base
     spans as kind:start:end, by start and kind, comma-joined), spans (base and random spans alike). Starts and ends are
     code points, ends exclusive. A null or empty text has no spans. Repeated rows get equal results; null ids are kept.
-    With no candidate nothing is rejected or added. Other columns are not read. An empty table gives an empty one.
+    With no candidate nothing is added. Other columns are not read. An empty table gives an empty one.
     """
     ws = Workspace(docs.sparkSession, "secrets")
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -160,8 +201,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         _kind(matches(F.col("text"), HEX), 2).alias("hex"),
         candidates(F.col("text")).alias("tokens"),
     )
-    tested = F.transform("tokens", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), randomness(m["found"]).alias("p")))
-    found = found.select("id", "assign", "access", "hex", F.filter(tested, lambda m: m["p"].isNotNull()).alias("tested"))
+    battery = F.transform("tokens", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["found"].alias("found"), randomness(m["found"]).alias("p")))
+    tested = F.transform(F.filter(battery, lambda m: m["p"].isNotNull()), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.when(m["p"] >= ALPHA, written(F.rtrim(m["found"], F.lit("=")))).otherwise(1.0).alias("p")))
+    found = found.select("id", "assign", "access", "hex", tested.alias("tested"))
     found = ws.keep(found, "found")
     tokens = found.select(F.explode("tested").alias("t")).select((F.col("t.end") - F.col("t.start")).alias("n"), "t.p")
     whole = tokens.agg(F.count("*").alias("m"), F.avg("n").alias("mean")).first()
@@ -174,7 +216,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if m and 10.0 ** (-k / GRID) <= level * below / m:
             bound = 10.0 ** (-k / GRID)
     base = F.concat("assign", "access", "hex")
-    random = F.filter("tested", lambda t: (t["p"] * mean / (t["end"] - t["start"]) > bound) & ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    random = F.filter("tested", lambda t: (t["p"] * mean / (t["end"] - t["start"]) <= bound) & ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     return found.select(
         F.col("id").alias(id_col),
         *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]),
