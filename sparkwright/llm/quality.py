@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,7 +53,8 @@ def features(column: pa.Array) -> np.ndarray:
         flat[own] += many
 
     space = SPACE - 256
-    words_seen, words_all, lines_seen, lines_all = (np.zeros(n) for _ in range(4))
+    words_all = np.zeros(n)
+    word_docs, word_keys = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     for lo, hi in K.windows(data, offsets, K.SPACE):
         part = data[lo:hi]
         kind = _KIND[part]
@@ -82,23 +84,38 @@ def features(column: pa.Array) -> np.ndarray:
         length = np.minimum(ends - starts, 31)
         count(doc, length + space + 128)
         words_all += np.bincount(doc, minlength=n)
-        bounds, _ = labelled.sorted_unique(doc, (word >> np.uint64(32)).astype(np.int64), n)
-        words_seen += np.diff(bounds)
-        ls, le = K.word_spans(part, own, _NEWLINE)
-        line_doc = np.searchsorted(offsets, ls + lo, "right") - 1
-        line = K.hash_spans(part, ls, le)
-        lines_all += np.bincount(line_doc, minlength=n)
-        bounds, _ = labelled.sorted_unique(line_doc, (line >> np.uint64(32)).astype(np.int64), n)
-        lines_seen += np.diff(bounds)
+        word_docs.append(doc)
+        word_keys.append((word >> np.uint64(32)).astype(np.int64))
     every = np.arange(n)
-    for tag, (seen, total) in enumerate(((words_seen, words_all), (lines_seen, lines_all))):
-        share = 1 - seen / np.maximum(total, 1)
+    # windows are for the memory of what adds up; distinct words and lines are those of whole texts
+    repeats = (_repeated(np.concatenate(word_docs), np.concatenate(word_keys), n), _repeated(*_lines(data, offsets), n))
+    for tag, share in enumerate(repeats):
         count(every, _bucket(share, tag) + space + 160, np.maximum(1, words_all / 20).astype(np.float32))
     size = np.clip(np.log2(words_all + 1).astype(np.int64), 0, 15)
     count(every, size + space + 176, np.maximum(1, words_all / 20).astype(np.float32))
     return out
 
 
+def _repeated(docs: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    """For every text the share of its items that repeat an earlier one."""
+    bounds, _ = labelled.sorted_unique(docs, keys, n)
+    return 1 - np.diff(bounds) / np.maximum(np.bincount(docs, minlength=n), 1)
+
+
+def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, 32-bit hash) of every line that is not empty; a line longer than a window is hashed by itself."""
+    docs, keys = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for lo, hi in K.windows(data, offsets, _NEWLINE):
+        starts, ends = K.word_spans(data[lo:hi], np.clip(offsets, lo, hi) - lo, _NEWLINE)
+        docs.append(np.searchsorted(offsets, starts + lo, "right") - 1)
+        if hi - lo > 2 * K.WINDOW:
+            own = np.array([xxhash.xxh64_intdigest(data[lo + a : lo + b]) for a, b in zip(starts, ends, strict=True)], dtype=np.uint64)
+        else:
+            own = K.hash_spans(data[lo:hi], starts, ends)
+        keys.append((own >> np.uint64(32)).astype(np.int64))
+    return np.concatenate(docs), np.concatenate(keys)
+
+
 _NEWLINE = np.zeros(256, dtype=bool)
 _NEWLINE[10] = True
 
