@@ -142,7 +142,10 @@ def _read(batches):
             rows, held = [], 0
             with _open(name) as f:
                 while at < min(hi, size):
-                    skip, length = _long_header(f, at, size)
+                    head = _long_header(f, at, size)
+                    if head is None:
+                        raise ValueError(f"no record at byte {at} of {name}")
+                    skip, length = head
                     block = f.read_at(skip + length, at)
                     rows.append(_fields(block[:skip], block[skip:]))
                     held += length
@@ -169,7 +172,7 @@ def _fields(head: bytes, block: bytes) -> tuple:
 
 
 def read_warc(ws: Workspace, path: str, block: int = BLOCK) -> DataFrame:
-    """All records that the chain from each file's start reaches: page_id, url, record_type, refers_to, payload_digest,
+    """All records that the chain from each file's start reaches; an error if one does not end at its file's end. Gives page_id, url, record_type, refers_to, payload_digest,
     payload_bytes (of the full payload), payload (empty for revisits)."""
     spark = ws.spark
     ship(spark)
@@ -185,13 +188,18 @@ def read_warc(ws: Workspace, path: str, block: int = BLOCK) -> DataFrame:
     starts = files.select("file", F.lit(0).cast("long").alias("at"))
     # entries: candidates that a chain leaves another block to, or that start a file
     entered = candidates.select("file", F.col("leave").alias("at")).unionByName(starts).distinct()
-    jump = ws.keep(candidates.join(entered, ["file", "at"]), "jump0")
+    jump = jump0 = ws.keep(candidates.join(entered, ["file", "at"]), "jump0")
     reached = ws.keep(starts.join(jump.select("file", "at"), ["file", "at"]), "reached0")
     for turn in range(1, math.ceil(math.log2(-(-longest // block) + 1)) + 1):
         ahead = reached.join(jump, ["file", "at"]).select("file", F.col("leave").alias("at")).join(jump.select("file", "at"), ["file", "at"])
         reached = ws.keep(reached.unionByName(ahead).distinct(), f"reached{turn}")
         on = jump.select("file", F.col("at").alias("leave"), F.col("leave").alias("further"))
         jump = ws.keep(jump.join(on, ["file", "leave"], "left").select("file", "at", F.coalesce("further", "leave").alias("leave")), f"jump{turn}")
+    # the chain of every file must leave its last block at the file's end, or records would be lost
+    ended = reached.join(jump0, ["file", "at"]).join(files, "file").where(F.col("leave") == F.col("size")).select("file")
+    broken = files.join(ended, "file", "left_anti").select("file").first()
+    if broken:
+        raise ValueError(f"the records of {broken['file']} don't end where the file does")
     place = F.floor(F.col("at") / block) * block
     entries = reached.join(files, "file").select("file", "at", F.least(place + block, F.col("size")).alias("hi"), "size")
     return entries.repartition("file", "at").mapInArrow(_read, _FIELDS)
