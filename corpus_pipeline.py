@@ -1,8 +1,13 @@
 """The corpus pipeline: each stage applies one operator of ``sparkwright.llm`` to all that its predecessor kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet and rereads for the next.
-All but the last return the columns of ``documents`` (and any others that the table has). Rows with a null doc_id can't
-be named by a decision about another row, so each is judged by its own text where a stage does that, and else stays.
+All but the last return the columns of ``documents`` (and any others that the table has, whatever their names). An empty
+table gives an empty one at every stage.
+
+Rows with a null doc_id can't be named by a decision about another row, so they stay where a stage decides by id (near
+duplicates, decontamination, mixing) and are judged by their own text in the first. Rows that repeat a doc_id are one
+document: a decision about it holds for all of them, and of those with equal texts one row stays after near duplicates.
+Null and empty texts are never toxic, have no duplicates, no leaks, size 0 in the mix, and one token, the end id.
 """
 
 from __future__ import annotations
@@ -19,22 +24,37 @@ from sparkwright.llm.toxicity import filter_toxic, train_toxicity
 from sparkwright.llm.workspace import Workspace, sized
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _without(ws: Workspace, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not among the (distinct) ids; the ids are broadcast only if they are few."""
-    gone = sized(ws.keep(ids.select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct(), "gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The rows whose doc_id is not among the ids; the ids are broadcast only if they are few."""
+    name = _fresh(docs, "gone")
+    gone = sized(ws.keep(ids.select(F.col("doc_id").alias(name)).where(F.col(name).isNotNull()).distinct(), "gone"))
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that the factorization machine scores 0.7 or more go."""
+    """Texts that the factorization machine scores 0.7 or more go. Equal texts get equal scores."""
     model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return filter_toxic(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (five-word shingles, similarity 0.8 or more)."""
+    """One document of each group of near duplicates stays, that with the smallest doc_id (five-word shingles,
+    similarity 0.8 or more). Of rows that repeat both its doc_id and its text, one stays."""
+    ws = Workspace(spark, "stage-dedup")
     groups = near_duplicate_groups(docs.select("doc_id", "text"), words=5, percent=80)
-    return _without(Workspace(spark, "stage-dedup"), docs, groups.where("not kept"))
+    kept = _without(ws, docs, groups.where("not kept"))
+    again = ws.keep(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
+    return _without(ws, kept, again).unionByName(kept.join(sized(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +66,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: 0, 1 or 2 times."""
     ws = Workspace(spark, "stage-mix")
-    copies = mix_sources(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    copies = ws.keep(copies.withColumnRenamed("doc_id", "_doc"), "copies")
-    taken = docs.join(sized(copies), docs["doc_id"] == copies["_doc"], "left").withColumn("_n", F.coalesce("_copies", F.lit(1)).cast("int"))
-    return taken.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*(docs[c] for c in docs.columns))
+    doc, times, copy = _fresh(docs, "mixed_doc"), _fresh(docs, "mixed_times"), _fresh(docs, "mixed_copy")
+    copies = mix_sources(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias(doc)).agg(F.max("copies").cast("int").alias(times))
+    taken = docs.join(sized(ws.keep(copies, "copies")), F.col("doc_id") == F.col(doc), "left").withColumn(times, F.coalesce(F.col(times), F.lit(1)))
+    return taken.where(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
