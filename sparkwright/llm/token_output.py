@@ -46,6 +46,16 @@ WRITE_OPTIONS = {
 }
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else one from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+
+
 class WordCache(dict):
     """Ids (as bytes) of words led by a space, or by a line feed that is part of the key, so that a word of a worker's
     texts is encoded once.
@@ -53,7 +63,7 @@ class WordCache(dict):
     A byte-level pre-tokenizer always starts a token at a space or line feed that follows a non-space, and its pattern
     looks back at nothing; so a text that is cut there encodes piece by piece to the same ids. Texts with white space
     before one of the two are encoded whole. For the same reason the unknown words of a batch are encoded as one text,
-    whose ids are cut where a token starts with the lead. Punctuation after a word of Latin letters is a token of its
+    whose ids are cut where a token starts with the lead; words of Latin letters go to the model itself. Punctuation after a word of Latin letters is a token of its
     own. At most ``size`` words are kept, in two generations.
     """
 
@@ -96,7 +106,11 @@ class WordCache(dict):
         # a word without characters, at a text's end, is the lead alone
         if "" in plain:
             self[""] = self._encode([" "])[0]
-        plain = [w for w in plain if w]
+        # a word of Latin letters alone is one token of the pre-tokenizer, so the model can encode it without that
+        latin = [w for w in plain if _LATIN(w)] if self._plain else []
+        model = self.tokenizer.model.tokenize
+        self.update({w: array("i", [t.id for t in model("\u0120" + (w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS)))]).tobytes() for w in latin})
+        plain = [w for w in set(plain).difference(latin) if w]
         self.update(zip(plain, self._together(plain, " "), strict=True))
         self.update(zip(["\n" + w for w in lines], self._together(lines, "\n"), strict=True))
         tails = list({w[len(base) :] for w, base in tailed}.difference(self.tails))
