@@ -57,19 +57,19 @@ def groups(docs, k, percent):
     return {i: (len(s), u.find(i), u.find(i) == i) for i, s in sets.items()}
 
 
-def top_products(rows, k):
-    import numpy as np
-
-    good = sorted((i, v) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v))
-    ids = np.array([i for i, _ in good])
-    x = np.floor(np.array([v for _, v in good], dtype=float) * 1024).astype(np.int64)
-    out = set()
-    for q, i in enumerate(ids):
+def top_products(rows, k, scale=1024):
+    """Sorted (query id, rank, id, score), in Python's integers; a row is left out of its own candidates only."""
+    import math
+
+    low, high = -(2**63), 2**63 - 1
+    bound = lambda x: min(max(x, low), high)
+    good = [(i, [bound(math.floor(scale * x)) if math.isfinite(scale * x) else (high if x > 0 else low) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q, (i, v) in enumerate(good):
         if i % 100 == 0:
-            s = x @ x[q]
-            order = [j for j in np.lexsort((ids, -s)) if j != q][:k]
-            out |= {(int(i), r + 1, int(ids[j]), int(s[j])) for r, j in enumerate(order)}
-    return out
+            scores = sorted((-bound(sum(a * b for a, b in zip(v, w, strict=False))), j) for r, (j, w) in enumerate(good) if r != q)
+            out += [(i, rank + 1, j, -s) for rank, (s, j) in enumerate(scores[:k])]
+    return sorted(out)
 
 
 def page_text(page):
@@ -92,6 +92,22 @@ def base_spans(text):
     return (*map(len, kinds), sha256(listed.encode()).hexdigest(), listed)
 
 
+def leaks(docs, items, coverage=0.6, run=12, run_equal=8):
+    """{(document, item): matched places of the item} over all alignments that count; texts and items are word lists."""
+    out = {}
+    for d, text in docs.items():
+        for i, item in items.items():
+            n, places = len(item), set()
+            for shift in range(1 - n, len(text)):
+                at = [k for k in range(n) if 0 <= shift + k < len(text) and text[shift + k] == item[k]]
+                enough = len(at) == n if n < 5 else 100 * len(at) >= 100 * coverage * n
+                if enough or any(b - a < run for a, b in zip(at, at[run_equal - 1 :], strict=False)):
+                    places |= set(at)
+            if places and (len(places) == n if n < 5 else len(places) >= coverage * n):
+                out[d, i] = len(places)
+    return out
+
+
 def targets(sizes, weights=(3, 1, 2), share=1.5):
     """{source: target} by refilling until no source is above twice its size. sizes: {source: words}."""
     order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]

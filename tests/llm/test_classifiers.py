@@ -67,3 +67,47 @@ def test_windows_of_a_long_text_count_alike():
     words = [f"w{i % 977}" for i in range(600_000)]
     long, short = pa.array([" ".join(words)]), pa.array([" ".join(sorted(set(words)))])
     assert np.array_equal(toxicity.terms(long)[1], toxicity.terms(short)[1])
+
+
+def test_pair_sums_equal_brute_force():
+    """The margin of a text is the intercept, the weights of its terms and the inner product of every pair's factors."""
+    rng = np.random.default_rng(3)
+    place = np.full(1 << toxicity.SPACE_BITS, -1, dtype=np.int32)
+    texts = ["the cat and the dog", "a", "", "insults at groups and cats", "the the the"]
+    bounds, values = toxicity.terms(pa.array(texts))
+    known = np.unique(values)[::2]
+    place[known] = np.arange(len(known))
+    model = toxicity.FactorizationMachine(place, 0.3, rng.normal(size=len(known)), rng.normal(size=(len(known), toxicity.FACTORS)))
+    for i, got in enumerate(model.margins(bounds, values)):
+        at = [place[v] for v in values[bounds[i] : bounds[i + 1]] if place[v] >= 0]
+        want = 0.3 + sum(model.w[j] for j in at) + sum(model.v[a] @ model.v[b] for k, a in enumerate(at) for b in at[:k])
+        assert got == pytest.approx(want)
+
+
+def test_votes_equal_brute_force():
+    """A score is the similarity-weighted share of label 1 among the nearest labelled vectors, cosines being exact."""
+    rng = np.random.default_rng(4)
+    texts = pa.array([" ".join(rng.choice(["a", "Bc", "d!", "12", "e\nf"], size=rng.integers(1, 40))) for _ in range(700)])
+    labels = rng.integers(0, 2, 700)
+    model = quality.fit(quality.features(texts), labels)
+    got = model.scores(texts)
+    x = model.latent(quality.features(texts)).astype(float)
+    for i in range(0, 700, 70):
+        cosine = [float(x[i] @ v) for v in model.vectors.astype(float)]
+        near = sorted(range(len(cosine)), key=lambda j: -cosine[j])[: quality.NEIGHBOURS]
+        weight = [max(cosine[j], 0) ** 8 for j in near]
+        want = (sum(w * labels[j] for w, j in zip(weight, near, strict=True)) + 1e-6 * model.base) / (sum(weight) + 1e-6)
+        assert got[i] == pytest.approx(want, abs=0.02)
+
+
+@pytest.mark.parametrize("unit", ["some words of a line that repeats\n", "one two three four five six seven eight nine ten "])
+def test_repetition_does_not_depend_on_the_length(unit):
+    """A text whose second half repeats its first has half its words and lines repeated, beyond any window's size too."""
+    for lines in (3000, 12_000):
+        half = "".join(f"w{i} x{i * 7} y{i * 13} " + ("\n" if unit[-1] == "\n" else "") for i in range(lines))
+        counts = quality.features(pa.array([half, half + half]))
+        levels = counts[:, quality.SPACE - 256 + 160 : quality.SPACE - 256 + 168].argmax(axis=1)
+        assert levels.tolist() == [0, 4]
+    long_line = "z" * 700_000
+    docs, keys = quality._lines(*__import__("sparkwright.llm.textkernel", fromlist=["x"]).column_bytes(pa.array([f"{long_line}\na\n{long_line}\n", "a\n\nb"])))
+    assert docs.tolist() == [0, 0, 0, 1, 1] and keys[0] == keys[2] != keys[1] == keys[3]

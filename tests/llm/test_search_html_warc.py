@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sparkwright.llm import html_text, warc
+from sparkwright.llm import exact_search, html_text, warc
 from sparkwright.llm.exact_search import top_inner_products
 from sparkwright.llm.queries import QUERIES
 from sparkwright.llm.workspace import Workspace
@@ -10,15 +10,30 @@ from tests.llm import brute
 
 def test_search_equals_brute_force(spark, small):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
-    assert {tuple(r) for r in QUERIES["op3_kdtree_topk"](spark, small).collect()} == brute.top_products(rows, 10)
+    assert sorted(map(tuple, QUERIES["op3_kdtree_topk"](spark, small).collect())) == brute.top_products(rows, 10)
 
 
 def test_search_odd_rows(spark):
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [0.0, 0.0]), (None, [9.0, 9.0]), (100, [-1.0, 2.0]), (100, [-1.0, 2.0]), (7, [float("inf"), 0.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("clash"))
-    got = {tuple(r) for r in top_inner_products(df, df.where("vec_id % 100 = 0"), k=3).collect()}
-    assert got == brute.top_products([r for r in dict.fromkeys((i, tuple(v) if v else v) for i, v in rows)], 3)
+    """Nulls, repeated ids with equal and other vectors, vectors of several lengths, an empty one."""
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [0.0, 0.0]), (None, [9.0, 9.0]), (100, [-1.0, 2.0]), (100, [-1.0, 2.0]), (100, [3.0, 1.0, 5.0]), (7, [float("inf"), 0.0]), (8, [2.0]), (9, []), (200, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("clash")).withColumn("row", F.lit(7))
+    got = sorted(tuple(r) for r in top_inner_products(df, df.where("vec_id % 100 = 0"), k=3).collect())
+    assert got == brute.top_products(rows, 3)
     assert top_inner_products(df.limit(0), df.limit(0)).count() == 0
+    only = df.where("vec_id = 0")
+    assert top_inner_products(only, only).count() == 0
+
+
+@pytest.mark.parametrize("size", [0.01, 1e5, 1e9, 1e10, 1e300])
+def test_search_of_large_components_is_exact(spark, monkeypatch, size):
+    """Scores beyond 2 ** 53 and beyond the range of longs, over many shards."""
+    import random
+
+    monkeypatch.setattr(exact_search, "SHARD", 50)
+    random.seed(1)
+    rows = [(i, [random.choice((-1, 1, 1)) * size * (1 + random.random()) for _ in range(8)]) for i in range(300)] + [(1000 + i, [size] * 8) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, top_inner_products(df, df.where("vec_id % 100 = 0"), k=7).collect())) == brute.top_products(rows, 7)
 
 
 def test_html_equals_articles(spark, small):
@@ -40,6 +55,34 @@ def test_html_template_words_go_where_no_article_is_named(spark):
     assert got[3] == "Own words 3 of page 3."
 
 
+def site(pages, body):
+    return [(i, "http://site.example/x", f"<html><body class='no-sidebar'>{body(i)}</body></html>") for i in range(pages)]
+
+
+def test_html_slot_of_the_template_decides(spark):
+    """Pages without an article element: what varies on every page beside the article is told from it by the host's
+    template alone. Without the template the result is another."""
+    words = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    body = lambda i: f"<div class='layout has-header'><div class='x1'><p>Today {words(i, 4)}</p></div><div class='x2'><h2>T{i}</h2><p>{words(i, 40 + i)}</p><p>End {i}.</p></div><div class='x3'><p>Also {words(i + 7, 5)}</p></div></div>"
+    df = spark.createDataFrame(site(12, body), "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_main_text(df).collect()}
+    assert got == {i: f"T{i} {words(i, 40 + i)} End {i}." for i in range(12)}
+    page = df.where("page_id = 3").first().html
+    assert html_text.main_text(page, set(), html_text.Paths()) == f"Today {words(3, 4)} {got[3]} Also {words(10, 5)}"
+
+
+def test_html_names_are_roles_only_as_a_whole():
+    paths = html_text.Paths()
+    text = lambda page: html_text.main_text(page, set(), paths)
+    assert text('<body class="no-sidebar"><article><p>Hello</p></article></body>') == "Hello"
+    assert text('<div class="layout has-header"><article><p>Hello</p></article></div>') == "Hello"
+    assert text('<article class="related-work"><p>Hello</p></article>') == "Hello"
+    assert text('<div class="sidebar"><article><p>Hello</p></article></div>') == "Hello"
+    assert text('<article><p>Hello</p><div class="comment-list"><article><p>No</p></article></div></article><div class="comments"><article>No</article></div>') == "Hello"
+    assert text('<nav><article>No</article></nav><p>Yes</p><div id="site-footer">No</div><div class="cookie notice">No</div>') == "Yes"
+    assert text('<article class="comment"><p>No</p></article><main><p>Yes</p></main>').endswith("Yes")
+
+
 def test_html_odd_pages():
     paths = html_text.Paths()
     text = lambda page: html_text.main_text(page, set(), paths)
@@ -51,6 +94,19 @@ def test_html_odd_pages():
     assert text("<p>" * 30_000 + "deep") == "deep"
 
 
+def test_html_of_odd_markup_takes_linear_time():
+    import time
+
+    def seconds(page):
+        began = time.perf_counter()
+        html_text.main_text(page, set(), html_text.Paths())
+        return time.perf_counter() - began
+
+    for part in ("<div></span>", "<a '", "<p", "<div>", "<!--", "</div>"):
+        seconds(part * 1000)
+        assert seconds(part * 40_000) < 12 * seconds(part * 10_000) + 0.5
+
+
 def test_html_nulls(spark):
     df = spark.createDataFrame([(1, None, None), (None, "u", "<p>x</p>"), (2, "http://a/", "")], "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("tokens", F.lit(2))
     got = {(r.page_id, r.text, r.n_chars) for r in html_text.extract_main_text(df).collect()}
