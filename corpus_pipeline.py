@@ -32,10 +32,10 @@ def _fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
-def _without(ws: Workspace, docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _without(ws: Workspace, docs: DataFrame, ids: DataFrame, label: str = "gone") -> DataFrame:
     """The rows whose doc_id is not among the ids; the ids are broadcast only if they are few."""
     name = _fresh(docs, "gone")
-    gone = sized(ws.keep(ids.select(F.col("doc_id").alias(name)).where(F.col(name).isNotNull()).distinct(), "gone"))
+    gone = sized(ws.keep(ids.select(F.col("doc_id").alias(name)).where(F.col(name).isNotNull()).distinct(), label))
     return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
 
 
@@ -54,7 +54,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     again = ws.keep(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "again")
     if again.isEmpty():
         return kept
-    return _without(ws, kept, again).unionByName(kept.join(sized(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return _without(ws, kept, again, "single").unionByName(kept.join(sized(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
