@@ -70,3 +70,28 @@ def pinball(error: Column, q: float) -> Column:
 def log_cosh(error: Column) -> Column:
     a = F.abs(error)
     return a + F.log1p(F.exp(-2 * a)) - 0.6931471805599453
+
+
+def hinge(margin: Column) -> Column:
+    """Loss of the signed margin y * f."""
+    return F.greatest(1 - margin, F.lit(0.0))
+
+
+def focal(margin: Column, gamma: float) -> Column:
+    """-(1 - p)^gamma ln p of p = sigmoid(y * f)."""
+    return F.pow(1 - sigmoid(margin), F.lit(gamma)) * softplus(-margin)
+
+
+def box_cox_inverse(y: Column, lam: float) -> Column:
+    """The x whose transform is y; NaN where there is none."""
+    if lam == 0:
+        return F.exp(y)
+    base = lam * y + 1
+    return F.when(base > 0, F.pow(F.when(base > 0, base), F.lit(1 / lam))).otherwise(F.lit(NAN))
+
+
+def yeo_johnson_inverse(y: Column, lam: float) -> Column:
+    up = F.expm1(F.greatest(y, F.lit(0.0))) if lam == 0 else F.pow(F.greatest(lam * F.greatest(y, F.lit(0.0)) + 1, F.lit(0.0)), F.lit(1 / lam)) - 1
+    low = F.greatest(-y, F.lit(0.0))
+    down = -F.expm1(low) if lam == 2 else 1 - F.pow(F.greatest((2 - lam) * low + 1, F.lit(0.0)), F.lit(1 / (2 - lam)))
+    return F.when(y >= 0, up).otherwise(down)

@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkwright.storage import sized, stored
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint where the session has a checkpoint folder, else by caching."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    df = df.persist()
-    df.count()
-    return df
+    """Cut the lineage: a table in the shared folder, which survives lost executors."""
+    return stored(df, "graph")
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -26,11 +23,12 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("e.node").agg(F.sum("e.i").alias("in_degree"), F.sum("e.o").alias("out_degree"), F.count("*").alias("degree"))
 
 
-def breadth_first(edges: DataFrame, sources: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, hops) of the nodes that directed edges reach from the sources; others are left out."""
+def breadth_first(edges: DataFrame, sources: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, hops) of the nodes that directed edges reach from the sources, within ``rounds`` hops if given."""
     seen = cut(sources.select("node", F.lit(0).alias("hops")))
-    front = seen
-    for step in range(1, rounds + 1):
+    front, step = seen, 0
+    while rounds is None or step < rounds:
+        step += 1
         ahead = edges.join(front.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct()
         front = cut(ahead.join(seen, "node", "left_anti").select("node", F.lit(step).alias("hops")))
         if front.isEmpty():
@@ -39,33 +37,47 @@ def breadth_first(edges: DataFrame, sources: DataFrame, rounds: int = 100) -> Da
     return seen
 
 
-def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, component): the smallest node that undirected paths reach. Each round takes the smallest label among the
-    neighbours and then the label of that label, so paths shorten by more than half."""
-    both = cut(undirected(edges))
-    labels = cut(both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
-    for _ in range(rounds):
-        low = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("low"))
-        own = labels.join(low, "node", "left").select("node", F.least("component", F.coalesce("low", "component")).alias("next"), "component")
-        jump = labels.select(F.col("node").alias("next"), F.col("component").alias("far"))
-        new = cut(own.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("next"), "component"))
-        labels = new.select("node", F.col("next").alias("component"))
-        if new.where("next <> component").isEmpty():
-            break
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that undirected paths reach.
+
+    Each round hooks every node to its smallest neighbour below it, jumps pointers to the roots, and replaces the ends
+    of the edges by their roots, until no edge joins two components; so rounds and edges fall geometrically.
+    """
+    left = cut(edges.select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")).distinct())
+    labels = cut(left.select(F.explode(F.array("lo", "hi")).alias("node")).distinct().withColumn("component", F.col("node")))
+    left = left.where("lo < hi")
+    while not left.isEmpty():
+        parents = left.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("up"))
+        tops = left.select(F.col("lo").alias("node")).distinct().join(parents, "node", "left_anti").select("node", F.col("node").alias("up"))
+        roots = cut(parents.unionByName(tops))
+        while True:
+            above = roots.select(F.col("node").alias("up"), F.col("up").alias("far"))
+            jumped = cut(roots.join(above, "up").select("node", F.col("far").alias("up"), (F.col("far") != F.col("up")).alias("moved")))
+            roots = jumped.select("node", "up")
+            if jumped.where("moved").isEmpty():
+                break
+        labels = cut(labels.join(roots.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("up", "component").alias("component")))
+        ends = left.join(roots.select(F.col("node").alias("lo"), F.col("up").alias("a")), "lo").join(roots.select(F.col("node").alias("hi"), F.col("up").alias("b")), "hi")
+        left = cut(ends.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
     return labels
 
 
-def shortest_paths(edges: DataFrame, source: int, rounds: int = 100) -> DataFrame:
-    """(node, distance) by relaxing all edges until none improves (Bellman-Ford); non-negative or acyclic weights."""
+def shortest_paths(edges: DataFrame, source: int, rounds: int | None = None) -> DataFrame:
+    """(node, distance) by relaxing edges (Bellman-Ford) until none improves, or over at most ``rounds`` edges. Only
+    nodes that improved are relaxed again. A negative cycle raises an error."""
     spark = edges.sparkSession
     best = cut(spark.createDataFrame([(source, 0.0)], "node long, distance double"))
-    for _ in range(rounds):
-        ahead = edges.join(best.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"))
-        new = cut(best.union(ahead).groupBy("node").agg(F.min("distance").alias("distance")))
-        changed = new.join(best.withColumnRenamed("distance", "old"), "node", "left").where("old is null or distance < old")
-        best = new
-        if changed.isEmpty():
+    front, step = best, 0
+    nodes = edges.select(F.explode(F.array("src", "dst"))).distinct().count() if rounds is None else None
+    while rounds is None or step < rounds:
+        step += 1
+        if nodes is not None and step > nodes + 1:
+            raise ValueError("the edges have a negative cycle")
+        ahead = edges.join(front.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.col("distance") + F.col("weight")).alias("distance"))
+        front = cut(ahead.join(best.withColumnRenamed("distance", "old"), "node", "left").where("old is null or distance < old").select("node", "distance"))
+        if front.isEmpty():
             break
+        best = cut(best.union(front).groupBy("node").agg(F.min("distance").alias("distance")))
     return best
 
 
@@ -101,10 +113,10 @@ def triangles(edges: DataFrame) -> DataFrame:
     return deg.join(count, "src", "left").select(F.col("src").alias("node"), F.coalesce("t", F.lit(0)).alias("triangles"), F.when(F.col("d") > 1, 2.0 * F.coalesce("t", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).otherwise(0.0).alias("clustering"))
 
 
-def adamic_adar(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, shared, score) of the pairs with a in ``nodes`` that share neighbours: sum of 1 / ln(degree)."""
+def adamic_adar(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(a, b, shared, score) of the pairs (with a in ``nodes``, if given) that share neighbours: sum of 1 / ln(degree)."""
     both = undirected(edges)
     deg = both.groupBy(F.col("src").alias("dst")).agg(F.count("*").alias("d")).where("d > 1")
-    left = both.join(F.broadcast(nodes.withColumnRenamed("node", "src")), "src").select(F.col("src").alias("a"), "dst")
+    left = (both if nodes is None else both.join(sized(nodes.withColumnRenamed("node", "src")), "src")).select(F.col("src").alias("a"), "dst")
     pairs = left.join(deg, "dst").join(both.select(F.col("src").alias("b"), "dst"), "dst").where("a <> b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum(1 / F.log("d")).alias("score"))

@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwright.functions.guards import NAN, entropy_term, ratio
+from sparkwright.operators.running import running_totals
+from sparkwright.storage import sized, stored
 
 
 def confusion(df: DataFrame, truth: str, guess: str) -> DataFrame:
     """All cells of the confusion matrix over the classes of either column, zeros included."""
     counts = df.groupBy(truth, guess).agg(F.count("*").alias("n"))
     classes = df.select(F.explode(F.array(truth, guess)).alias("c")).distinct()
-    frame = classes.withColumnRenamed("c", truth).join(F.broadcast(classes.withColumnRenamed("c", guess)))
+    # all cells are the result, so classes are crossed: they must be few
+    frame = classes.withColumnRenamed("c", truth).crossJoin(sized(classes.withColumnRenamed("c", guess), 10_000))
     return frame.join(counts, [truth, guess], "left").select(truth, guess, F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -43,16 +46,15 @@ def binary_rates(df: DataFrame, by: list[str], truth: str, guess: str) -> DataFr
 def curve(df: DataFrame, score: str, truth: str) -> DataFrame:
     """(threshold, tp, fp, p, n) by falling score; rows of equal score make one point; a point counts score >= threshold."""
     points = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(truth) == 1).alias("own"), F.count_if(F.col(truth) != 1).alias("other"))
-    down = Window.orderBy(F.desc("threshold"))
-    everything = Window.partitionBy()
-    return points.select("threshold", F.sum("own").over(down).alias("tp"), F.sum("other").over(down).alias("fp"), F.sum("own").over(everything).alias("p"), F.sum("other").over(everything).alias("n"))
+    points = stored(points, "curve")
+    whole = points.agg(F.coalesce(F.sum("own"), F.lit(0)).alias("p"), F.coalesce(F.sum("other"), F.lit(0)).alias("n"))
+    run = running_totals(points, "threshold", ["own", "other"], descending=True)
+    return run.crossJoin(F.broadcast(whole)).select("threshold", F.col("upto_own").alias("tp"), F.col("upto_other").alias("fp"), "p", "n", F.col("own").alias("dt"), F.col("other").alias("df"))
 
 
 def ranking_quality(df: DataFrame, score: str, truth: str) -> DataFrame:
     """auroc (average ranks, from the points of the curve), average precision and the largest F1."""
-    c = curve(df, score, truth)
-    down = Window.orderBy(F.desc("threshold"))
-    step = c.select("*", (F.col("tp") - F.coalesce(F.lag("tp").over(down), F.lit(0))).alias("dt"), (F.col("fp") - F.coalesce(F.lag("fp").over(down), F.lit(0))).alias("df"))
+    step = curve(df, score, truth)
     area = F.sum(F.col("df") * (F.col("tp") - F.col("dt") / 2.0))
     return step.agg(
         ratio(area, F.max("p").cast("double") * F.max("n")).alias("auroc"),
@@ -116,7 +118,7 @@ def clusterings(df: DataFrame, a: str, b: str) -> DataFrame:
     n_total = F.broadcast(total.select("t"))
     ha = of_a.crossJoin(n_total).agg(F.sum(entropy_term(F.col("na") / F.col("t"))).alias("ha"))
     hb = of_b.crossJoin(n_total).agg(F.sum(entropy_term(F.col("nb") / F.col("t"))).alias("hb"))
-    mi = cells.join(F.broadcast(of_a), a).join(F.broadcast(of_b), b).crossJoin(n_total).agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("na") * F.col("nb")))).alias("mi"))
+    mi = cells.join(of_a, a).join(of_b, b).crossJoin(n_total).agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("na") * F.col("nb")))).alias("mi"))
     r = one.crossJoin(ha).crossJoin(hb).crossJoin(mi)
     allp = pairs(F.col("t"))
     expected = F.col("pa") * F.col("pb") / allp
@@ -133,9 +135,8 @@ def clusterings(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def gini(df: DataFrame, x: str) -> DataFrame:
     """Gini coefficient of non-negative values, over counted distinct values; NaN if all are zero."""
-    counts = df.groupBy(F.col(x).cast("double").alias("x")).agg(F.count("*").alias("c"))
-    w = Window.orderBy("x")
-    r = counts.withColumn("upto", F.sum("c").over(w))
+    counts = stored(df.groupBy(F.col(x).cast("double").alias("x")).agg(F.count("*").alias("c")), "gini")
+    r = running_totals(counts, "x", ["c"]).withColumnRenamed("upto_c", "upto")
     # the mean rank of c equal values that end at rank upto
     rank = F.col("upto") - (F.col("c") - 1) / 2.0
     s = r.agg(F.sum("c").cast("double").alias("n"), F.sum(F.col("x") * F.col("c")).alias("s"), F.sum(F.col("x") * F.col("c") * rank).alias("rs"))
@@ -171,9 +172,10 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     cells = df.groupBy(a, b).agg(F.count("*").cast("double").alias("n"))
     ra, rb = cells.groupBy(a).agg(F.sum("n").alias("na")), cells.groupBy(b).agg(F.sum("n").alias("nb"))
     t = cells.agg(F.sum("n").alias("t"))
-    frame = ra.join(F.broadcast(rb)).join(cells, [a, b], "left").crossJoin(F.broadcast(t))
-    e = F.col("na") * F.col("nb") / F.col("t")
-    s = frame.agg(F.sum(F.pow(F.coalesce("n", F.lit(0.0)) - e, F.lit(2.0)) / e).alias("chi2"), F.count_distinct(a).alias("ka"), F.count_distinct(b).alias("kb"), F.max("t").alias("t"))
+    # the sum over all cells of (n - e)^2 / e is t * (sum of n^2 / (na * nb) - 1), over the cells that have rows
+    frame = cells.join(ra, a).join(rb, b)
+    s = frame.agg(F.sum(F.col("n") * F.col("n") / (F.col("na") * F.col("nb"))).alias("q"), F.count_distinct(a).alias("ka"), F.count_distinct(b).alias("kb"))
+    s = s.crossJoin(F.broadcast(t)).withColumn("chi2", F.col("t") * (F.col("q") - 1))
     least = F.least("ka", "kb") - 1
     return s.select("chi2", ((F.col("ka") - 1) * (F.col("kb") - 1)).alias("freedom"), F.when(least > 0, F.sqrt(F.col("chi2") / (F.col("t") * F.when(least > 0, least)))).otherwise(NAN).alias("cramers_v"))
 

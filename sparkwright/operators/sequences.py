@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwright.functions.guards import ratio
+from sparkwright.storage import sized
 
 
 def running(df: DataFrame, key: list[str], order: list[str], x: str) -> DataFrame:
@@ -48,7 +49,7 @@ def decompose(df: DataFrame, key: list[str], order: str, x: str, period: int) ->
     t = df.select(*key, order, x, F.when(full, inner / period).alias("trend"), (F.col(order) % period).alias("phase"))
     season = t.where("trend is not null").groupBy(*key, "phase").agg(F.avg(F.col(x) - F.col("trend")).alias("raw"))
     season = season.withColumn("seasonal", F.col("raw") - F.avg("raw").over(Window.partitionBy(*key))).drop("raw")
-    return t.join(F.broadcast(season), [*key, "phase"], "left").select(*key, order, x, "trend", "seasonal", (F.col(x) - F.col("trend") - F.col("seasonal")).alias("remainder"))
+    return t.join(sized(season), [*key, "phase"], "left").select(*key, order, x, "trend", "seasonal", (F.col(x) - F.col("trend") - F.col("seasonal")).alias("remainder"))
 
 
 def kaplan_meier(df: DataFrame, by: list[str], time: str, event: str) -> DataFrame:
@@ -64,7 +65,7 @@ def kaplan_meier(df: DataFrame, by: list[str], time: str, event: str) -> DataFra
 
 
 def adjusted_p(df: DataFrame, by: list[str], p: str) -> DataFrame:
-    """Benjamini-Hochberg, Holm, Hochberg and Bonferroni adjusted p-values."""
+    """Benjamini-Hochberg, Holm, Hochberg, Bonferroni and Benjamini-Yekutieli adjusted p-values."""
     up = Window.partitionBy(*by).orderBy(p)
     whole = Window.partitionBy(*by)
     r = df.withColumn("_m", F.count("*").over(whole)).withColumn("_r", F.row_number().over(up))
@@ -72,12 +73,14 @@ def adjusted_p(df: DataFrame, by: list[str], p: str) -> DataFrame:
     step_down = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     one = lambda c: F.least(c, F.lit(1.0))
     rest = F.col("_m") - F.col("_r") + 1
+    harmonic = F.sum(1.0 / F.col("_r")).over(whole)
     return r.select(
         *df.columns,
         one(F.min(F.col(p) * F.col("_m") / F.col("_r")).over(step_up)).alias("bh"),
         one(F.max(F.col(p) * rest).over(step_down)).alias("holm"),
         one(F.min(F.col(p) * rest).over(step_up)).alias("hochberg"),
         one(F.col(p) * F.col("_m")).alias("bonferroni"),
+        one(F.min(F.col(p) * F.col("_m") * harmonic / F.col("_r")).over(step_up)).alias("by"),
     ).drop("_m", "_r")
 
 

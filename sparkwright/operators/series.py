@@ -19,17 +19,19 @@ def periodogram(df: DataFrame, key: str, index: str, x: str, n: int) -> DataFram
 
 
 def exponential_smoothing(df: DataFrame, key: list[str], order: list[str], x: str, alpha: float) -> DataFrame:
-    """s_0 = x_0, s_t = alpha x_t + (1 - alpha) s_{t-1}, as a fold over the key's ordered values."""
-    rows = F.sort_array(F.collect_list(F.struct(*order, F.col(x).cast("double").alias("_x"))))
-    start = F.struct(F.lit(None).cast("double").alias("s"), F.array().cast("array<double>").alias("out"))
-
-    def step(state, r):
-        s = F.when(state["s"].isNull(), r["_x"]).otherwise(alpha * r["_x"] + (1 - alpha) * state["s"])
-        return F.struct(s.alias("s"), F.array_append(state["out"], s).alias("out"))
+    """s_0 = x_0, s_t = alpha x_t + (1 - alpha) s_{t-1}, folded over each key's ordered rows in time linear in them."""
+    types = dict(df.dtypes)
 
-    g = df.groupBy(*key).agg(rows.alias("rows"))
-    both = g.select(*key, "rows", F.aggregate("rows", start, step, lambda s: s["out"]).alias("smooth"))
-    return both.select(*key, F.inline(F.arrays_zip("rows", "smooth"))).select(*key, *(F.col(f"rows.{o}").alias(o) for o in order), "smooth")
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order)
+        values, s = frame[x].to_numpy(dtype=float), None
+        out = np.empty(len(values))
+        for i, v in enumerate(values):
+            s = v if s is None else alpha * v + (1 - alpha) * s
+            out[i] = s
+        return frame[[*key, *order]].assign(smooth=out)
+
+    return df.select(*key, *order, x).groupBy(*key).applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in [*key, *order]) + ", smooth double")
 
 
 def envelope(df: DataFrame, key: list[str], order: list[str], x: str, reach: int) -> DataFrame:

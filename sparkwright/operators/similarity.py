@@ -1,11 +1,14 @@
-"""Nearest neighbours over arrays: exact by blocks of queries, inverted files, hyperplane buckets, and what builds on them."""
+"""Nearest neighbours over arrays: exact by blocks of queries and shards of rows, inverted files, hyperplane buckets, and what builds on them."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkwright.storage import stored
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
@@ -40,13 +43,68 @@ def doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """The k nearest other rows of each query, ties to the smaller id. The stated, size-checked queries are broadcast, so
-    the rows are scanned once and not shuffled; Spark limits each task to its k best per query before the exchange."""
-    q = queries.select(F.col(id_col).alias("query_id"), doubles(F.col(vec)).alias("_q"))
-    r = rows.select(F.col(id_col).alias("neighbour"), doubles(F.col(vec)).alias("_v"))
-    pairs = r.join(F.broadcast(q), F.col("neighbour") != F.col("query_id"))
-    d = pairs.select("query_id", "neighbour", DISTANCES[metric](F.col("_q"), F.col("_v")).alias("distance"))
+#: Queries of a block and rows of a shard: a task holds one of each.
+BLOCK, SHARD = 1024, 8192
+
+
+def _row_distances(metric: str, p: float):
+    """The distances of one vector to the rows of a matrix; each row by itself, so equal rows have equal distances."""
+
+    def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        n = np.sqrt((q * q).sum() * (x * x).sum(axis=1))
+        return np.where(n > 0, 1 - (x * q).sum(axis=1) / np.where(n > 0, n, 1), 1.0)
+
+    return {
+        "euclidean": lambda q, x: np.sqrt(((x - q) ** 2).sum(axis=1)),
+        "sqeuclidean": lambda q, x: ((x - q) ** 2).sum(axis=1),
+        "manhattan": lambda q, x: np.abs(x - q).sum(axis=1),
+        "chebyshev": lambda q, x: np.abs(x - q).max(axis=1),
+        "minkowski": lambda q, x: (np.abs(x - q) ** p).sum(axis=1) ** (1 / p),
+        "cosine": cosine,
+        "angular": lambda q, x: np.arccos(np.clip(1 - cosine(q, x), -1, 1)) / np.pi,
+    }[metric]
+
+
+def _blocks(df: DataFrame, id_col: str, vec: str, name: str, size: int) -> tuple[DataFrame, int]:
+    """Rows packed by a hash of the id: (name, ids, the vectors one after the other)."""
+    own = stored(df.select(F.col(id_col).cast("long").alias("id"), doubles(F.col(vec)).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull()), name)
+    parts = max(1, -(-own.count() // size))
+    packed = own.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias(name)).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("r"))
+    return stored(packed.select(name, F.col("r.id").alias(f"{name}_ids"), F.flatten("r.v").alias(f"{name}_body")), f"packed-{name}"), parts
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", id_col: str = "vec_id", vec: str = "embedding", p: float = 2.0) -> DataFrame:
+    """(query_id, neighbour, distance, rank) of the k nearest other rows of each query, ties to the smaller id, exactly.
+
+    Queries and rows are packed; every block of queries meets every shard of rows once, in a task that holds only those
+    two and returns its k best per query. Nothing is broadcast, so neither side needs to be small; all vectors have one
+    length. Rows without an id or a vector take no part.
+    """
+    asked, _ = _blocks(queries, id_col, vec, "block", BLOCK)
+    shards, n_shards = _blocks(rows, id_col, vec, "shard", SHARD)
+    visits = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)).cast("array<long>")))
+    between = _row_distances(metric, p)
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                q_ids, q, ids, x = (np.asarray(b.column(j)[i].values) for j in range(4))
+                q, x = q.reshape(len(q_ids), -1), x.reshape(len(ids), -1)
+                found = []
+                for own, v in zip(q_ids, q, strict=True):
+                    d = between(v, x)
+                    other = np.flatnonzero(ids != own)
+                    if len(other) > 4 * k:  # all that tie with the kth stay for the exact order
+                        kth = np.partition(d[other], k - 1)[k - 1]
+                        other = other[d[other] <= kth]
+                    found.append((own, *(z[np.lexsort((ids[other], d[other]))[:k]] for z in (ids[other], d[other]))))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))],
+                    names=["query_id", "neighbour", "distance"],
+                )
+
+    met = visits.join(shards, "shard").select("block_ids", "block_body", "shard_ids", "shard_body")
+    d = met.mapInArrow(run, "query_id long, neighbour long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "neighbour")
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -99,3 +157,19 @@ def local_outlier_factor(neighbours: DataFrame, k: int) -> DataFrame:
     other = density.select(F.col("query_id").alias("neighbour"), F.col("lrd").alias("other"))
     both = neighbours.join(other, "neighbour").join(density, "query_id")
     return both.groupBy("query_id").agg((F.avg("other") / F.first("lrd")).alias("lof"))
+
+
+def neighbour_graph(neighbours: DataFrame, mutual: bool = False) -> DataFrame:
+    """(src, dst, distance): the directed graph of a k-neighbour table, or its pairs that name each other (src < dst)."""
+    e = neighbours.select(F.col("query_id").alias("src"), F.col("neighbour").alias("dst"), "distance")
+    if not mutual:
+        return e
+    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return e.join(back, ["src", "dst"]).where("src < dst")
+
+
+def tomek_links(neighbours: DataFrame, labels: DataFrame, id_col: str, label: str) -> DataFrame:
+    """(a, b): pairs of different labels that are each other's nearest neighbour."""
+    pairs = neighbour_graph(neighbours.where("rank = 1"), mutual=True).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    of = lambda side: labels.select(F.col(id_col).alias(side), F.col(label).alias(f"label_{side}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where("label_a <> label_b").select("a", "b")

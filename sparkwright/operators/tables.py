@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwright.functions.guards import ratio
+from sparkwright.operators.running import running_totals
 from sparkwright.operators.tests import keyed_uniform
+from sparkwright.storage import sized, stored
 
 
 def scale(df: DataFrame, columns: list[str], how: str = "standard") -> DataFrame:
@@ -28,8 +30,8 @@ def scale(df: DataFrame, columns: list[str], how: str = "standard") -> DataFrame
 def ordinal_encode(df: DataFrame, column: str, into: str) -> DataFrame:
     """Places of the sorted distinct values; unknown (null) is -1."""
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    codes = values.withColumn(into, (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))
-    return df.join(F.broadcast(codes), column, "left").withColumn(into, F.coalesce(into, F.lit(-1)))
+    codes = running_totals(stored(values.withColumn("_one", F.lit(1)), "ordinal"), column, ["_one"]).select(column, (F.col("upto__one") - 1).cast("int").alias(into))
+    return df.join(sized(codes), column, "left").withColumn(into, F.coalesce(into, F.lit(-1)))
 
 
 def one_hot(df: DataFrame, column: str, values: list[str]) -> DataFrame:
@@ -59,7 +61,7 @@ def impute(df: DataFrame, column: str, how: str, by: list[str] | None = None) ->
         fill = counts.groupBy(*by).agg(F.min_by("_v", F.struct(-F.col("_n"), "_v")).alias("_fill"))
     else:
         fill = df.groupBy(*by).agg((F.avg(x) if how == "mean" else F.percentile(x, 0.5)).alias("_fill"))
-    both = df.join(F.broadcast(fill), by, "left") if by else df.crossJoin(F.broadcast(fill))
+    both = df.join(sized(fill), by, "left") if by else df.crossJoin(F.broadcast(fill))
     return both.select(*(F.coalesce(x, "_fill").alias(column) if c == column else F.col(c) for c in df.columns))
 
 

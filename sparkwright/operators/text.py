@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkwright.storage import sized, stored
+
 # fixed values: token patterns by name
 TOKEN_PATTERNS = {
     "words": r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*",
@@ -30,15 +32,22 @@ def long_tokens(docs: DataFrame, pattern: str = "words", id_col: str = "doc_id",
     return docs.select(id_col, F.posexplode(tokens(F.col(text_col), pattern)).alias("pos", "token"))
 
 
+def _zipped(words: Column, places: list[int], joint: str) -> Column:
+    """The tokens at the given places from each token on, joined, as far as all of them exist. Shifted arrays are zipped,
+    so the work is linear in the tokens."""
+    last = max(places)
+    shifted = [F.slice(words, k + 1, F.greatest(F.size(words) - last, F.lit(0))).alias(f"w{k}") for k in places]
+    rows = F.transform(F.arrays_zip(*shifted), lambda s: F.concat_ws(joint, *(s[f"w{k}"] for k in places)))
+    return F.when(F.size(words) > last, rows).otherwise(F.array().cast("array<string>"))
+
+
 def ngrams(words: Column, n: int, joint: str = " ") -> Column:
     """The n-grams of an array of tokens, joined."""
-    last = F.size(words) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, F.lit(n)), joint))).otherwise(F.array().cast("array<string>"))
+    return _zipped(words, list(range(n)), joint)
 
 
 def character_ngrams(text: Column, n: int) -> Column:
-    last = F.length(text) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substring(text, i + 1, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return ngrams(F.filter(F.split(text, ""), lambda c: c != ""), n, "")
 
 
 def bag_of_words(docs: DataFrame, pattern: str = "words", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,33 +69,58 @@ def vocabulary(bag: DataFrame, min_count: int = 1, size: int | None = None, id_c
 
 
 def tf_idf(bag: DataFrame, n_docs: int, id_col: str = "doc_id") -> DataFrame:
-    """Smooth idf ln((1 + N) / (1 + df)) + 1, rows scaled to length 1."""
-    df = bag.groupBy("token").agg(F.count("*").alias("df"))
-    weighted = bag.join(df, "token").withColumn("w", F.col("n") * (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0))
+    """Smooth idf ln((1 + N) / (1 + df)) + 1, rows scaled to length 1. The bag is written once; tokens are joined by
+    broadcast if their number allows."""
+    bag = stored(bag, "bag")
+    df = stored(bag.groupBy("token").agg(F.count("*").alias("df")), "df")
+    weighted = bag.join(sized(df, 1_000_000), "token").withColumn("w", F.col("n") * (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0))
     norms = weighted.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighted.join(norms, id_col).select(id_col, "token", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def bm25(bag: DataFrame, query: list[str], k1: float = 1.2, b: float = 0.75, id_col: str = "doc_id") -> DataFrame:
-    """Scores of the documents that hold a query term; idf ln(1 + (N - df + 0.5) / (df + 0.5))."""
-    lengths = bag.groupBy(id_col).agg(F.sum("n").alias("len"))
-    shape = lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
-    hits = bag.where(F.col("token").isin(query))
-    df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    rows = hits.join(F.broadcast(df), "token").join(lengths, id_col).crossJoin(F.broadcast(shape))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("n") * (k1 + 1) / (F.col("n") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return rows.groupBy(id_col).agg(F.sum(idf * part).alias("score"))
+def bm25(docs: DataFrame, query: list[str], k1: float = 1.2, b: float = 0.75, delta: float = 0.0, pattern: str = "words", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scores of the documents that hold a query term; idf ln(1 + (N - df + 0.5) / (df + 0.5)); ``delta`` is BM25+'s.
+
+    Each text is read once for its length and the counts of the query's terms; only sums over all texts are exchanged.
+    Texts without tokens don't count."""
+    words = docs.select(id_col, tokens(F.col(text_col), pattern).alias("w"))
+
+    def equals(term: str):
+        return lambda t: t == term
+
+    count = [F.size(F.filter("w", equals(q))).alias(f"n{i}") for i, q in enumerate(query)]
+    rows = stored(words.select(id_col, F.size("w").alias("len"), *count).where("len > 0"), "bm25")
+    shape = rows.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"n{i}") > 0).alias(f"df{i}") for i in range(len(query))))
+    score = F.lit(0.0)
+    for i in range(len(query)):
+        n, df = F.col(f"n{i}"), F.col(f"df{i}")
+        part = n * (k1 + 1) / (n + k1 * (1 - b + b * F.col("len") / F.col("mean"))) + delta
+        score = score + F.when(n > 0, F.log(1 + (F.col("docs") - df + 0.5) / (df + 0.5)) * part).otherwise(0.0)
+    found = F.greatest(*(F.col(f"n{i}") for i in range(len(query))), F.lit(0)) > 0
+    return rows.where(found).crossJoin(F.broadcast(shape)).select(id_col, score.alias("score"))
 
 
 def cooccurrence(docs: DataFrame, window: int, keep: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b, n): how often b stands at most ``window`` places after a; both in the kept vocabulary (token). Partners
     are read from the token array itself, so no self-join is needed."""
     words = docs.select(id_col, tokens(F.col(text_col)).alias("w")).where(F.size("w") > 1)
-    pairs = words.select("w", F.posexplode("w").alias("i", "a")).select("a", F.explode(F.slice("w", F.col("i") + 2, F.lit(window))).alias("b"))
-    kept = F.broadcast(keep.select("token"))
-    counts = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
-    return counts.join(kept.withColumnRenamed("token", "a"), "a").join(kept.withColumnRenamed("token", "b"), "b").select("a", "b", "n")
+    kept = sized(stored(keep.select("token"), "kept"))
+    # both ends are kept before anything is counted, so a task sends at most a row for each kept pair
+    left = words.select("w", F.posexplode("w").alias("i", "a")).join(kept.withColumnRenamed("token", "a"), "a")
+    pairs = left.select("a", F.explode(F.slice("w", F.col("i") + 2, F.lit(window))).alias("b")).join(kept.withColumnRenamed("token", "b"), "b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def shingle_overlap(docs: DataFrame, items: DataFrame, n: int, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(doc, item, shared, jaccard, contained) of all pairs that share an n-word shingle. The items' shingles are joined
+    by broadcast if their number allows, so the documents' shingles are not shuffled but only the shared ones counted."""
+    # the tokens are a column of their own, which the shingles' inner functions read but don't compute again
+    cut = lambda df, key: df.select(key, tokens(F.col(text_col)).alias("w")).select(key, F.array_distinct(ngrams(F.col("w"), n)).alias("s"))
+    own, of_items = cut(docs, id_col), cut(items, item_col)
+    shingles = stored(of_items.select(item_col, F.size("s").alias("ni"), F.explode("s").alias("g")), "shingles")
+    hits = own.select(id_col, F.size("s").alias("nd"), F.explode("s").alias("g")).join(sized(shingles, 1_000_000), "g")
+    shared = hits.groupBy(id_col, item_col).agg(F.count("*").alias("shared"), F.max("nd").alias("nd"), F.max("ni").alias("ni"))
+    return shared.select(id_col, item_col, "shared", (F.col("shared") / (F.col("nd") + F.col("ni") - F.col("shared"))).alias("jaccard"), (F.col("shared") / F.col("ni")).alias("contained"))
 
 
 def pmi(pairs: DataFrame) -> DataFrame:
@@ -101,8 +135,8 @@ def pmi(pairs: DataFrame) -> DataFrame:
 
 
 def skip_grams(words: Column, skip: int) -> Column:
-    """Pairs of tokens with at most ``skip`` tokens between them."""
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: F.transform(F.slice(words, i + 2, F.lit(skip + 1)), lambda t: F.concat_ws(" ", F.get(words, i), t))))
+    """Pairs of tokens with at most ``skip`` tokens between them, by their distance."""
+    return F.concat(*(_zipped(words, [0, d], " ") for d in range(1, skip + 2)))
 
 
 @F.pandas_udf(T.StringType())

@@ -46,12 +46,12 @@ def metric_reliability(spark: SparkSession, d: str) -> DataFrame:
 @REGISTRY.add(
     "metric_box_iou",
     "2.14",
-    """WITH b AS (SELECT l_orderkey AS k, l_linenumber AS i, l_quantity AS x, l_discount * 100 AS y, l_quantity + 10 AS x2, l_discount * 100 + 5 AS y2 FROM lineitem WHERE l_orderkey < 400),
+    """WITH b AS (SELECT l_orderkey AS k, l_linenumber AS i, l_quantity AS x, l_discount * 100 AS y, l_quantity + 10 AS x2, l_discount * 100 + 5 AS y2 FROM lineitem),
     p AS (SELECT a.k, a.i, b.i AS j, greatest(least(a.x2, b.x2) - greatest(a.x, b.x), 0) * greatest(least(a.y2, b.y2) - greatest(a.y, b.y), 0) AS o FROM b a JOIN b ON a.k = b.k AND a.i < b.i) SELECT k, i, j, round(o / (100 - o), 6) AS iou FROM p""",
 )
 def metric_box_iou(spark: SparkSession, d: str) -> DataFrame:
     """Boxes of one image (order) against each other."""
-    b = table(spark, d, "lineitem").where("l_orderkey < 400").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"))
+    b = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"))
     o = b.select("k", F.col("i").alias("j"), F.col("x").alias("u"), F.col("y").alias("v"))
     p = b.join(o, "k").where("i < j")
     return rounded(p.select("k", "i", "j", A.box_iou([F.col("x"), F.col("y"), F.col("x") + 10, F.col("y") + 5], [F.col("u"), F.col("v"), F.col("u") + 10, F.col("v") + 5]).alias("iou")))

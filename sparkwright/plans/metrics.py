@@ -43,7 +43,7 @@ def metric_binary_rates(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {_SCORED}, p AS (SELECT score AS threshold, count(*) FILTER (y = 1) AS own, count(*) FILTER (y <> 1) AS other FROM s GROUP BY 1) SELECT round(threshold, 6) AS threshold, CAST(sum(own) OVER w AS BIGINT) AS tp, CAST(sum(other) OVER w AS BIGINT) AS fp, CAST(sum(own) OVER () AS BIGINT) AS p, CAST(sum(other) OVER () AS BIGINT) AS n FROM p WINDOW w AS (ORDER BY threshold DESC)",
 )
 def metric_roc_curve(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(M.curve(_scored(spark, d), "score", "y"))
+    return rounded(M.curve(_scored(spark, d), "score", "y").drop("dt", "df"))
 
 
 @REGISTRY.add(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +13,7 @@ from sparkwright.plans.text import WORDS
 from sparkwright.registry import REGISTRY
 from sparkwright.session import table
 from sparkwright.sources import tables as S
+from sparkwright.storage import new_path
 
 _W = WORDS.replace("'", "''")
 
@@ -39,7 +38,7 @@ for _format in ("csv", "json", "orc"):
     def _plan(spark: SparkSession, d: str, format: str = _format) -> DataFrame:
         """The table through files of this format and back."""
         own = table(spark, d, "customer")
-        path = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp()}/customer-{format}"
+        path = new_path(spark, f"customer-{format}")
         S.write(own, path, format)
         back = S.read(spark, path, format, ", ".join(f"{c} {t}" for c, t in own.dtypes))
         return back.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"), F.max("c_name").alias("last"))
@@ -72,8 +71,8 @@ def text_minhash_estimate(spark: SparkSession, d: str) -> DataFrame:
 @REGISTRY.add("knn_ivf_recall", "2.12")
 def knn_ivf_recall(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 25 = 0")
-    return V.recall(K.inverted_file(e, q, 5, 8, 4), V.nearest(e, q, 5))
+    q = e.where("vec_id % 20 = 0")
+    return V.recall(K.inverted_file(e, q, 5, 8, 6), V.nearest(e, q, 5))
 
 
 @REGISTRY.add(
@@ -91,7 +90,7 @@ def cluster_dbscan(spark: SparkSession, d: str) -> DataFrame:
 
 @REGISTRY.add("text_bpe_merges", "2.11")
 def text_bpe_merges(spark: SparkSession, d: str) -> DataFrame:
-    words = X.bag_of_words(table(spark, d, "benchmark"), id_col="item_id").groupBy(F.col("token").alias("word")).agg(F.sum("n").alias("n"))
+    words = table(spark, d, "documents").select(F.explode(X.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     return K.learn_merges(words, 12)
 
 

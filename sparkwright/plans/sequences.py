@@ -96,12 +96,12 @@ def surv_kaplan_meier(spark: SparkSession, d: str) -> DataFrame:
 @REGISTRY.add(
     "test_adjusted_p",
     "2.5",
-    """WITH p AS (SELECT l_returnflag, l_partkey % 97 AS k, round(1 / (1 + avg(l_quantity)), 6) AS p FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY p, k) AS r, count(*) OVER (PARTITION BY l_returnflag) AS m FROM p)
-    SELECT l_returnflag, p, round(least(min(p * m / r) OVER u, 1), 6) AS bh, round(least(max(p * (m - r + 1)) OVER w, 1), 6) AS holm, round(least(min(p * (m - r + 1)) OVER u, 1), 6) AS hochberg, round(least(p * m, 1), 6) AS bonferroni
-    FROM r WINDOW u AS (PARTITION BY l_returnflag ORDER BY r DESC ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY l_returnflag ORDER BY r ROWS UNBOUNDED PRECEDING)""",
+    """WITH p AS (SELECT l_returnflag, extract(year FROM l_shipdate) * 100 + extract(month FROM l_shipdate) AS k, round(1 / (1 + avg(l_quantity)), 6) AS p FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY p, k) AS r, count(*) OVER (PARTITION BY l_returnflag) AS m FROM p)
+    SELECT l_returnflag, p, round(least(min(p * m / r) OVER u, 1), 6) AS bh, round(least(max(p * (m - r + 1)) OVER w, 1), 6) AS holm, round(least(min(p * (m - r + 1)) OVER u, 1), 6) AS hochberg, round(least(p * m, 1), 6) AS bonferroni, round(least(min(p * m / r) OVER u * h, 1), 6) AS "by"
+    FROM (SELECT *, sum(1.0::DOUBLE / r) OVER (PARTITION BY l_returnflag) AS h FROM r) AS r WINDOW u AS (PARTITION BY l_returnflag ORDER BY r DESC ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY l_returnflag ORDER BY r ROWS UNBOUNDED PRECEDING)""",
 )
 def test_adjusted_p(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "lineitem").groupBy("l_returnflag", (F.col("l_partkey") % 97).alias("k")).agg(F.round(1 / (1 + F.avg("l_quantity")), 6).alias("p"))
+    p = table(spark, d, "lineitem").groupBy("l_returnflag", F.date_format("l_shipdate", "yyyyMM").alias("k")).agg(F.round(1 / (1 + F.avg("l_quantity")), 6).alias("p"))
     return rounded(Q.adjusted_p(p.drop("k"), ["l_returnflag"], "p"))
 
 

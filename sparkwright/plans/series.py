@@ -109,9 +109,10 @@ def ml_pca(spark: SparkSession, d: str) -> DataFrame:
 def ml_als(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.recommendation import ALS
 
-    r = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 200).cast("int").alias("u"), (F.col("l_partkey") % 100).cast("int").alias("i")).agg(F.sum("l_quantity").cast("float").alias("r"))
+    li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    r = li.groupBy(F.col("o_custkey").cast("int").alias("u"), F.col("l_suppkey").cast("int").alias("i")).agg(F.sum("l_quantity").cast("float").alias("r"))
     m = ALS(userCol="u", itemCol="i", ratingCol="r", implicitPrefs=True, rank=8, maxIter=5, seed=1).fit(r)
-    return m.recommendForUserSubset(r.select("u").distinct().where("u < 20"), 5).select("u", F.explode("recommendations").alias("rec")).select("u", "rec.i", "rec.rating")
+    return m.recommendForAllUsers(5).select("u", F.explode("recommendations").alias("rec")).select("u", "rec.i", "rec.rating")
 
 
 @REGISTRY.add("ml_lda", "2.17")
@@ -122,7 +123,7 @@ def ml_lda(spark: SparkSession, d: str) -> DataFrame:
     from sparkwright.operators import text as X
 
     words = table(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("words"))
-    m = CountVectorizer(inputCol="words", outputCol="features", vocabSize=500, minDF=5.0).fit(words)
+    m = CountVectorizer(inputCol="words", outputCol="features", vocabSize=20_000, minDF=2.0).fit(words)
     topics = LDA(k=4, maxIter=5, seed=1).fit(m.transform(words)).describeTopics(5)
     return topics.select("topic", F.explode("termIndices").alias("term"))
 

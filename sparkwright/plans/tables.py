@@ -101,12 +101,12 @@ def mine_subgroups(spark: SparkSession, d: str) -> DataFrame:
 @REGISTRY.add(
     "mine_pairs",
     "2.17",
-    """WITH r AS (SELECT DISTINCT l_orderkey AS k, l_partkey % 50 AS i FROM lineitem), t AS (SELECT CAST(count(DISTINCT k) AS DOUBLE) AS t FROM r), c AS (SELECT i, count(*) AS c FROM r GROUP BY 1),
+    """WITH r AS (SELECT DISTINCT l_orderkey AS k, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey), t AS (SELECT CAST(count(DISTINCT k) AS DOUBLE) AS t FROM r), c AS (SELECT i, count(*) AS c FROM r GROUP BY 1),
     p AS (SELECT x.i AS a, y.i AS b, count(*) AS n FROM r x JOIN r y ON x.k = y.k AND x.i < y.i GROUP BY 1, 2 HAVING count(*) >= 40)
     SELECT p.a, p.b, n, round(n / t, 6) AS support, round(n / ca.c, 6) AS confidence, round(n / ca.c / (cb.c / t), 6) AS lift, round(n / t - ca.c / t * cb.c / t, 6) AS leverage, round((1 - cb.c / t) / (1 - n / ca.c), 6) AS conviction FROM p JOIN c ca ON ca.i = p.a JOIN c cb ON cb.i = p.b, t""",
 )
 def mine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 50).alias("i"))
+    li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.col("p_brand").alias("i"))
     return rounded(B.item_pairs(li, "l_orderkey", "i", 40))
 
 
@@ -114,7 +114,8 @@ def mine_pairs(spark: SparkSession, d: str) -> DataFrame:
 def mine_fpgrowth(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.fpm import FPGrowth
 
-    baskets = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set((F.col("l_partkey") % 50).cast("int")).alias("items"))
+    li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    baskets = li.groupBy("l_orderkey").agg(F.collect_set("p_brand").alias("items"))
     return FPGrowth(itemsCol="items", minSupport=0.01, minConfidence=0.05).fit(baskets).freqItemsets.select(F.sort_array("items").alias("items"), "freq")
 
 

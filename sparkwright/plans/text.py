@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkwright.plans.stats import rounded
 from sparkwright.registry import REGISTRY
 from sparkwright.session import table
 
@@ -23,9 +24,10 @@ WORDS = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
     """,
 )
 def tokens_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0))).alias("token"))
-    per_doc = docs.groupBy("token", "doc_id").agg(F.count("*").alias("n"))
-    counts = per_doc.groupBy("token").agg(F.sum("n").alias("token_count"), F.count("*").alias("doc_count"))
+    words = table(spark, sf_dir, "documents").select(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0)).alias("w"))
+    # each token as often as it stands, and once more for each document that has it: one exchange of counts by token
+    both = words.select(F.explode("w").alias("token"), F.lit(1).alias("n"), F.lit(0).alias("docs")).unionAll(words.select(F.explode(F.array_distinct("w")), F.lit(0), F.lit(1)))
+    counts = both.groupBy("token").agg(F.sum("n").alias("token_count"), F.sum("docs").alias("doc_count"))
     total = table(spark, sf_dir, "documents").agg(F.count("*").alias("total"))
     top = counts.orderBy(F.desc("token_count"), "token").limit(50)
     return top.crossJoin(F.broadcast(total)).select("token", "token_count", "doc_count", F.round(F.log((1.0 + F.col("total")) / (1.0 + F.col("doc_count"))) + 1.0, 6).alias("idf"))
@@ -89,10 +91,10 @@ def text_ngrams(spark: SparkSession, d: str) -> DataFrame:
 @REGISTRY.add(
     "text_character_ngrams",
     "2.8",
-    "WITH g AS (SELECT unnest(list_transform(range(1, length(text) - 1), lambda i: substring(text, i, 3))) AS ngram FROM benchmark WHERE length(text) >= 3) SELECT ngram, count(*) AS n FROM g GROUP BY 1",
+    "WITH g AS (SELECT unnest(list_transform(range(1, length(text) - 1), lambda i: substring(text, i, 3))) AS ngram FROM documents WHERE length(text) >= 3) SELECT ngram, count(*) AS n FROM g GROUP BY 1",
 )
 def text_character_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.explode(X.character_ngrams(F.col("text"), 3)).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("n"))
+    return _docs(spark, d).select(F.explode(X.character_ngrams(F.col("text"), 3)).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("n"))
 
 
 @REGISTRY.add(
@@ -118,7 +120,7 @@ def text_tfidf(spark: SparkSession, d: str) -> DataFrame:
     """,
 )
 def text_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return X.bm25(X.bag_of_words(_docs(spark, d)), ["idiot", "license", "token"]).withColumn("score", F.round("score", 6))
+    return X.bm25(_docs(spark, d), ["idiot", "license", "token"]).withColumn("score", F.round("score", 6))
 
 
 _TOP = "v AS (SELECT token FROM bag GROUP BY token ORDER BY sum(n) DESC, token LIMIT 200)"
@@ -165,42 +167,35 @@ def text_stop_words(spark: SparkSession, d: str) -> DataFrame:
     "text_shingle_jaccard",
     "2.7",
     f"""
-    WITH l AS (SELECT item_id, regexp_extract_all(lower(text), '{_W}') AS t FROM benchmark), s AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS g FROM l),
-    c AS (SELECT item_id, count(*) AS n FROM s GROUP BY 1), x AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.item_id < b.item_id GROUP BY 1, 2)
-    SELECT x.a, x.b, shared, round(shared / (ca.n + cb.n - shared), 6) AS jaccard FROM x JOIN c ca ON ca.item_id = x.a JOIN c cb ON cb.item_id = x.b
+    WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '{_W}') AS t FROM benchmark), s AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) AS g FROM i WHERE len(t) > 2),
+    {_LISTS}, e AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) AS g FROM l WHERE len(t) > 2),
+    c AS (SELECT item_id, count(*) AS n FROM s GROUP BY 1), f AS (SELECT doc_id, count(*) AS n FROM e GROUP BY 1), x AS (SELECT doc_id, item_id, count(*) AS shared FROM s JOIN e USING (g) GROUP BY 1, 2)
+    SELECT doc_id, item_id, shared, round(shared / (c.n + f.n - shared), 6) AS jaccard, round(shared / c.n, 6) AS contained FROM x JOIN c USING (item_id) JOIN f USING (doc_id)
     """,
 )
 def text_shingle_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    """Exact similarity of all items that share a two-word shingle, from an equality join on shingles."""
-    s = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(X.ngrams(X.tokens(F.col("text")), 2))).alias("g"))
-    n = s.groupBy("item_id").agg(F.count("*").alias("n"))
-    a, b = s.withColumnRenamed("item_id", "a"), s.withColumnRenamed("item_id", "b")
-    shared = a.join(b, "g").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    both = shared.join(n.select(F.col("item_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("item_id").alias("b"), F.col("n").alias("nb")), "b")
-    return both.select("a", "b", "shared", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6).alias("jaccard"))
+    """Exact similarity, and share of the item's shingles, of all documents and items that share a three-word shingle."""
+    return rounded(X.shingle_overlap(_docs(spark, d), table(spark, d, "benchmark"), 3))
 
 
 @REGISTRY.add(
     "text_skip_grams",
     "2.8",
-    f"""WITH l AS (SELECT regexp_extract_all(lower(text), '{_W}') AS t FROM benchmark), p AS (SELECT t, unnest(range(1, len(t))) AS i FROM l WHERE len(t) > 1), q AS (SELECT t[i] AS a, unnest(t[i + 1 : i + 3]) AS b FROM p)
+    f"""WITH l AS (SELECT regexp_extract_all(lower(text), '{_W}') AS t FROM documents), p AS (SELECT t, unnest(range(1, len(t))) AS i FROM l WHERE len(t) > 1), q AS (SELECT t[i] AS a, unnest(t[i + 1 : i + 3]) AS b FROM p)
     SELECT a || ' ' || b AS pair, count(*) AS n FROM q GROUP BY 1""",
 )
 def text_skip_grams(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "benchmark").select(X.tokens(F.col("text")).alias("w"))
+    w = _docs(spark, d).select(X.tokens(F.col("text")).alias("w"))
     return w.select(F.explode(X.skip_grams(F.col("w"), 2)).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
 
 
 @REGISTRY.add(
     "text_edit_distance",
     "2.8",
-    "SELECT a.item_id AS a, b.item_id AS b, levenshtein(substring(regexp_replace(a.text, '[^ -~]', '', 'g'), 1, 40), substring(regexp_replace(b.text, '[^ -~]', '', 'g'), 1, 40)) AS distance FROM benchmark a JOIN benchmark b ON a.item_id + 1 = b.item_id",
+    "SELECT p_partkey, levenshtein(p_name, p_type) AS distance FROM part",
 )
 def text_edit_distance(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("text"))
-    other = b.select((F.col("item_id") - 1).alias("a"), F.col("item_id").alias("b"), F.substring("text", 1, 40).alias("tb"))
-    own = b.select(F.col("item_id").alias("a"), F.substring("text", 1, 40).alias("ta"))
-    return own.join(other, "a").select("a", "b", F.levenshtein("ta", "tb").cast("long").alias("distance"))
+    return table(spark, d, "part").select("p_partkey", F.levenshtein("p_name", "p_type").cast("long").alias("distance"))
 
 
 @REGISTRY.add("text_normalise", "2.8")

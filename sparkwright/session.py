@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkwright.storage import ship
+
 
 def get_session(app: str = "sparkwright", cpus: int | str = "*", **conf: str) -> SparkSession:
     """A local session with the settings that the engine is tested under; on a cluster, pass the cluster's own session instead."""
@@ -24,4 +26,5 @@ def get_session(app: str = "sparkwright", cpus: int | str = "*", **conf: str) ->
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

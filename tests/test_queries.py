@@ -12,4 +12,5 @@ def test_equals_sql(spark, small, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_runs(spark, tiny, name):
-    assert catalog.QUERIES[name](spark, tiny).columns
+    """Queries without SQL give rows; their values are tested in the other modules."""
+    assert catalog.QUERIES[name](spark, tiny).collect()
