@@ -3,6 +3,7 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -137,3 +138,14 @@ def test_elo_equals_a_fold(spark, tiny):
         change = 32 * ((1.0 if a.value > b.value else 0.0 if a.value < b.value else 0.5) - 1 / (1 + 10 ** ((y - x) / 400)))
         rating[kind, a.user_id], rating[kind, b.user_id] = x + change, y - change
     assert got == pytest.approx(rating)
+
+
+def test_answers_at_letters_beyond_ascii(spark, tmp_path):
+    """Articles beside accented letters, capital sigma and dotted I, spaces of Unicode at the ends, vertical tabs."""
+    texts = ["an\u00e7 la \u00e9a b", "The \u00e8the a\u0301 x", "\u039f\u0394\u039f\u03a3 \u0130a an", "\u00a0the x\u3000", "a\u000bb\u000b\u000bc", "a\u2028an\u0085", "a_the an-x", "the  a", "", None]
+    spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLE_SQL["text_normalise_answer"]).fetchall()
+    got = catalog.QUERIES["text_normalise_answer"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
