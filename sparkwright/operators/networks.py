@@ -139,16 +139,28 @@ def two_colouring(edges: DataFrame) -> DataFrame:
     return odd.join(labels, "node").groupBy("component").agg((F.max("odd") == 0).alias("bipartite"))
 
 
-def all_pairs_shortest(edges: DataFrame) -> DataFrame:
+def all_pairs_shortest(edges: DataFrame, hops: int | None = None) -> DataFrame:
     """(src, dst, distance) between all pairs of a small graph by min-plus squaring; the distances are the result, so the
-    square of the nodes' number must be storable."""
+    square of the nodes' number must be storable. With ``hops``, over paths of at most so many edges."""
     e = edges.select("src", "dst", F.col("weight").cast("double").alias("distance"))
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("src")).distinct()
     d = cut(e.unionAll(nodes.select("src", F.col("src").alias("dst"), F.lit(0.0))).groupBy("src", "dst").agg(F.min("distance").alias("distance")))
-    while True:
-        a = d.select("src", F.col("dst").alias("mid"), F.col("distance").alias("x"))
-        b = d.select(F.col("src").alias("mid"), "dst", F.col("distance").alias("y"))
-        new = cut(a.join(b, "mid").groupBy("src", "dst").agg(F.min(F.col("x") + F.col("y")).alias("distance")))
-        if new.exceptAll(d).isEmpty():
+
+    def joined(first: DataFrame, then: DataFrame) -> DataFrame:
+        a = first.select("src", F.col("dst").alias("mid"), F.col("distance").alias("x"))
+        b = then.select(F.col("src").alias("mid"), "dst", F.col("distance").alias("y"))
+        return cut(a.join(b, "mid").groupBy("src", "dst").agg(F.min(F.col("x") + F.col("y")).alias("distance")))
+
+    done = None
+    while hops is None or hops > 0:
+        if hops is not None:
+            if hops % 2:  # the paths of this power of two of edges
+                done = d if done is None else joined(done, d)
+            hops //= 2
+            if not hops:
+                return done
+        new = joined(d, d)
+        if hops is None and new.exceptAll(d).isEmpty():
             return new
         d = new
+    return nodes.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("distance"))

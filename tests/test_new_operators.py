@@ -12,6 +12,8 @@ from sparkwright import catalog
 from sparkwright.operators import arrays, corpus, networks, running
 from sparkwright.operators.graph import connected_components
 from sparkwright.session import table
+from tests.conftest import DATA
+from tests.oracle import same
 
 WORDS = ["the", "house", "houses", "housing", "a", "unhappy", "happiness", "über", "x"]
 
@@ -149,3 +151,25 @@ def test_answers_at_letters_beyond_ascii(spark, tmp_path):
     want = con.execute(catalog.ORACLE_SQL["text_normalise_answer"]).fetchall()
     got = catalog.QUERIES["text_normalise_answer"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("hops", [0, 1, 2, 5, 12, None])
+def test_all_pairs_within_hops(spark, hops):
+    """A cheap path of 20 edges beside dearer, shorter ones."""
+    rnd = random.Random(8)
+    edges = [(i, i + 1, 1.0) for i in range(20)] + [(rnd.randrange(21), rnd.randrange(21), float(rnd.randrange(5, 60))) for _ in range(25)]
+    got = {(r.src, r.dst): r.distance for r in networks.all_pairs_shortest(spark.createDataFrame(edges, "src long, dst long, weight double"), hops).collect()}
+    want = {(n, n): 0.0 for n in range(21)}
+    for _ in range(21 if hops is None else hops):
+        step = dict(want)
+        for (a, b), x in want.items():
+            for src, dst, w in edges:
+                if src == b and x + w < step.get((a, dst), math.inf):
+                    step[a, dst] = x + w
+        want = step
+    assert got == want
+
+
+def test_all_pairs_equals_sql_where_paths_are_long(spark):
+    equal, why = same(catalog.QUERIES["graph_all_pairs"](spark, f"{DATA}/sf0.1"), catalog.ORACLE_SQL["graph_all_pairs"], f"{DATA}/sf0.1")
+    assert equal, why
