@@ -153,12 +153,12 @@ def privacy_noisy_sums(spark: SparkSession, d: str) -> DataFrame:
 
 @REGISTRY.add("sample_permutation", "2.6", f"SELECT s_suppkey, row_number() OVER (ORDER BY {_u('s_suppkey', 'shuffle')}, s_suppkey) AS place FROM supplier")
 def sample_permutation(spark: SparkSession, d: str) -> DataFrame:
-    """A keyed permutation; ranges of the keyed number are numbered each by itself."""
+    """A keyed permutation, equal keyed numbers in the order of the key; ranges of the number are numbered each by itself."""
     from sparkwright.operators.running import running_totals
     from sparkwright.storage import stored
 
     s = stored(table(spark, d, "supplier").select("s_suppkey", I.md5_uniform(F.col("s_suppkey"), "shuffle").alias("u"), F.lit(1).alias("one")), "permutation")
-    return running_totals(s, "u", ["one"]).select("s_suppkey", F.col("upto_one").alias("place"))
+    return running_totals(s, "u", ["one"], then=["s_suppkey"]).select("s_suppkey", F.col("upto_one").alias("place"))
 
 
 @REGISTRY.add("sample_choice", "2.6", f"SELECT p_partkey FROM part ORDER BY {_u('p_partkey', 'choice')}, p_partkey LIMIT 25")

@@ -173,3 +173,13 @@ def test_all_pairs_within_hops(spark, hops):
 def test_all_pairs_equals_sql_where_paths_are_long(spark):
     equal, why = same(catalog.QUERIES["graph_all_pairs"](spark, f"{DATA}/sf0.1"), catalog.ORACLE_SQL["graph_all_pairs"], f"{DATA}/sf0.1")
     assert equal, why
+
+
+def test_permutation_of_keys_with_equal_numbers(spark, tmp_path):
+    """The first eight hex digits of md5 are equal for 3332 and 14736; a repeated key has a place for each row."""
+    keys = [14736, *range(3300, 3400), 3332, 14736]
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = sorted((r.place, r.s_suppkey) for r in catalog.QUERIES["sample_permutation"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    assert got == sorted((place, key) for key, place in con.execute(catalog.ORACLE_SQL["sample_permutation"]).fetchall())
