@@ -32,7 +32,7 @@ def stream_moments(spark: SparkSession, d: str) -> DataFrame:
     SELECT user_id, event_id, round(s - least(min(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0), 4) AS cusum FROM s""",
 )
 def stream_cusum(spark: SparkSession, d: str) -> DataFrame:
-    got = S.drain(S.streamed_cusum(_events(spark, d), 55.0, 5.0), "append")
+    got = S.drain_cusum(_events(spark, d), 55.0, 5.0)
     return got.select("user_id", "event_id", F.round("cusum", 4).alias("cusum"))
 
 

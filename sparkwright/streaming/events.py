@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from sparkwright.storage import new_path
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -41,34 +40,45 @@ def distinct_events(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-CUSUM = "user_id long, event_id long, cusum double"
-
-
-def cusum_alarms(target: float, slack: float):
-    """A per-key fold: s = max(0, s + x - target - slack), one row per event; the state is one number and its order."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = state.get[0] if state.exists else 0.0
-        for frame in frames:
-            frame = frame.sort_values(["ts", "event_id"])
-            out = []
-            for x in frame["value"]:
-                s = max(0.0, s + x - target - slack)
-                out.append(s)
-            yield pd.DataFrame({"user_id": key[0], "event_id": frame["event_id"], "cusum": out})
-        state.update((s,))
-
-    return step
+def drain_cusum(stream: DataFrame, target: float, slack: float, checkpoint: str | None = None) -> DataFrame:
+    """(user_id, event_id, cusum) of all that is there now: a per-key fold s = max(0, s + x - target - slack), one row per
+    event. Rows of a batch are folded in the order of ts and event_id, nulls last, batches in the order they come; a null
+    value leaves s as it is. The state, one number per key, is a table beside the batch's rows: s is the running sum less
+    its lowest value below zero, so windows of the engine, which spill, do the fold."""
+    folder = checkpoint or new_path(stream.sparkSession, "cusum")
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark, kind = batch.sparkSession, dict(batch.dtypes)["user_id"]
+        rows = batch.select("user_id", "event_id", "ts", (F.col("value") - (target + slack)).alias("x"))
+        old = spark.read.schema(f"key {kind}, s double").parquet(f"{folder}/state/{number - 1}") if number else spark.createDataFrame([], f"key {kind}, s double")
+        rows = rows.join(old, F.col("user_id").eqNullSafe(F.col("key")), "left") if number else rows.withColumn("s", F.lit(None).cast("double"))
+        order = Window.partitionBy("user_id").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
+        run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        gain = F.sum("x").over(run)
+        total = rows.select("user_id", "event_id", "ts", F.coalesce(F.col("s") + F.coalesce(gain, F.lit(0.0)), gain).alias("total"))
+        folded = total.select("user_id", "event_id", (F.col("total") - F.least(F.min("total").over(run), F.lit(0.0))).alias("cusum"), F.lead(F.lit(True)).over(order).isNull().alias("last"))
+        folded.write.mode("overwrite").parquet(f"{folder}/rows/{number}")
+        ends = spark.read.schema(folded.schema).parquet(f"{folder}/rows/{number}").where("last and cusum is not null").select(F.col("user_id").alias("key"), F.col("cusum").alias("s"))
+        kept = old.alias("o").join(ends.select(F.col("key").alias("end")), F.col("key").eqNullSafe(F.col("end")), "left_anti")
+        ends.unionByName(kept).write.mode("overwrite").parquet(f"{folder}/state/{number}")
+
+    return _each_batch(stream, "append", folder, step).select("user_id", "event_id", "cusum")
+
+
+def _each_batch(stream: DataFrame, mode: str, folder: str, step: Callable[[DataFrame, int], None]) -> DataFrame:
+    """Run a stream over all that is there now by a step that writes each batch to rows/<number> in the folder, which
+    also holds the checkpoint, and return all rows. A repeated batch overwrites its rows."""
+    query = stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.parquet(f"{folder}/rows/*")
 
 
-def streamed_cusum(stream: DataFrame, target: float, slack: float) -> DataFrame:
-    return stream.groupBy("user_id").applyInPandasWithState(cusum_alarms(target, slack), CUSUM, "s double", "append", GroupStateTimeout.NoTimeout)
+def drain(stream: DataFrame, mode: str, checkpoint: str | None = None) -> DataFrame:
+    """Run a stream over all that is there now, into files that driver and executors share, and return the final table.
+    In complete mode a batch replaces the rows of the one before."""
+    folder = checkpoint or new_path(stream.sparkSession, "drained")
 
+    def step(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/{0 if mode == 'complete' else number}")
 
-def drain(stream: DataFrame, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over all that is there now, into memory, and return the final table."""
-    name = f"drained_{uuid.uuid4().hex}"
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return _each_batch(stream, mode, folder, step)
