@@ -38,4 +38,4 @@ def stream_cusum(spark: SparkSession, d: str) -> DataFrame:
 
 @REGISTRY.add("stream_distinct", "2.9", "SELECT count(DISTINCT event_id) AS n FROM events")
 def stream_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return S.drain(S.distinct_events(_events(spark, d)), "append").agg(F.count("*").alias("n"))
+    return S.drain_distinct(_events(spark, d), "event_id").agg(F.count("*").alias("n"))

@@ -65,6 +65,21 @@ def drain_cusum(stream: DataFrame, target: float, slack: float, checkpoint: str
     return _each_batch(stream, "append", folder, step).select("user_id", "event_id", "cusum")
 
 
+def drain_distinct(stream: DataFrame, key: str, checkpoint: str | None = None) -> DataFrame:
+    """(key) once for each of its values in all that is there now, however far apart they come; nulls are left out. Each
+    batch adds the values that no batch before it had; they are tables, so neither state nor driver holds them."""
+    folder = checkpoint or new_path(stream.sparkSession, "distinct")
+
+    def step(batch: DataFrame, number: int) -> None:
+        new = batch.select(key).where(F.col(key).isNotNull()).distinct()
+        if number:
+            seen = batch.sparkSession.read.schema(new.schema).parquet(*(f"{folder}/rows/{k}" for k in range(number)))
+            new = new.join(seen, key, "left_anti")
+        new.write.mode("overwrite").parquet(f"{folder}/rows/{number}")
+
+    return _each_batch(stream, "append", folder, step)
+
+
 def _each_batch(stream: DataFrame, mode: str, folder: str, step: Callable[[DataFrame, int], None]) -> DataFrame:
     """Run a stream over all that is there now by a step that writes each batch to rows/<number> in the folder, which
     also holds the checkpoint, and return all rows. A repeated batch overwrites its rows."""

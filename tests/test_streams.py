@@ -45,6 +45,14 @@ def test_cusum_of_batches_equals_a_fold(spark, tmp_path):
     assert {k: v for k, v in got.items() if v is not None} == pytest.approx({k: v for k, v in want.items() if v is not None})
 
 
+def test_distinct_over_batches_far_apart(spark, tmp_path):
+    """Ids that come again after weeks, or long after the latest time, count once; nulls do not count."""
+    batches = [[(i % 40 if i % 7 else None, DAY + dt.timedelta(days=d), 1, "view", 1.0) for i in range(60)] for d in (30, 0, 60)]
+    batches[1] += [(100 + i, DAY, 1, "view", 1.0) for i in range(5)]
+    got = [r.event_id for r in S.drain_distinct(S.event_stream(spark, _written(spark, tmp_path, batches)), "event_id").collect()]
+    assert sorted(got) == sorted({r[0] for b in batches for r in b} - {None})
+
+
 def test_drained_batches_are_files(spark, tmp_path):
     """Append keeps the rows of all batches, complete those of the last; neither is a table in the driver's memory."""
     path = _written(spark, tmp_path, [[(b * 10 + i, DAY, 1, "view", 1.0) for i in range(10)] for b in range(3)])
