@@ -183,3 +183,26 @@ def test_permutation_of_keys_with_equal_numbers(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
     assert got == sorted((place, key) for key, place in con.execute(catalog.ORACLE_SQL["sample_permutation"]).fetchall())
+
+
+def test_lsh_finds_the_best_of_its_buckets(spark):
+    """Against plain Python; more rows than a shard holds of one bucket, equal vectors, a zero and missing ones."""
+    from sparkwright.operators import similarity as V
+
+    rnd = np.random.default_rng(2)
+    vectors = np.round(rnd.standard_normal((300, 4)), 2)
+    vectors[40:60], vectors[70] = vectors[40], 0
+    rows = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(vectors)), (None, [1.0] * 4), (900, None)], "vec_id long, embedding array<double>")
+    found = V.lsh_nearest(rows, rows.where("vec_id % 20 = 0"), 3, 4, bits=5, tables=2)
+    got = sorted((r.query_id, r.rank, r.neighbour, round(r.distance, 9)) for r in found.collect())
+    keys = np.array([[tuple(V.hyperplanes(4, 5, t) @ v >= 0) for t in range(2)] for v in vectors])
+    want = []
+    for q in range(0, 300, 20):
+        near = [i for i in range(300) if i != q and (keys[i] == keys[q]).all(axis=1).any()]
+        norm = lambda i: math.sqrt((vectors[i] ** 2).sum())
+        best = sorted((round(1 - vectors[i] @ vectors[q] / (norm(i) * norm(q)) if norm(i) * norm(q) else 1.0, 9), i) for i in near)[:3]
+        want += [(q, rank + 1, i, d) for rank, (d, i) in enumerate(best)]
+    assert [g[:2] for g in got] == [w[:2] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=1e-8)
+    # candidate pairs are no rows: the only join is that of blocks with shards
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert len(joins) == 1 and "shard" in joins[0] and "key" not in joins[0]
