@@ -7,11 +7,11 @@ confirmed on the full sets, so the estimate only saves work.
 
 A bucket never emits all its pairs. In each of a few rounds a row meets one pivot: of the pivots of its buckets that are
 not in its component, the one with which it shares most buckets. Links are contracted to components, and only buckets
-that still hold more than one component stay. At the end, the rows outside the largest component of such a bucket are
-compared with the bucket's other rows, under the bit-count filter of longer signatures in the join itself; of these
-pairs the likeliest of every two components is confirmed first, then those whose components still differ. The estimate
-has a margin of five standard errors, so a pair at the bound is lost with probability 3e-7; no other pair of a bucket
-is dropped.
+that still hold more than one component stay. At the end, the rows of different components of such a bucket are
+compared with each other in blocks: first by the bit counts of longer signatures, which gives the rows that have a
+likely partner, then those by their full sets. Pairs are compared inside a task, which returns rows or a forest of
+links, so no table has a row for each pair. The estimate has a margin of five standard errors, so a pair at the bound is
+lost with probability 3e-7; no other pair of a bucket is dropped.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ MISSED = 1e-6
 PIVOT_ROUNDS = 2
 #: Minima of the longer signatures of the few texts that are still open at the end.
 FINE = 1024
+#: Rows of a block of a bucket that is compared by signatures, and by full sets; shingles that are looked up at once.
+BLOCK, WHOLE_BLOCK, LOOKED_UP = 256, 64, 1 << 20
 _PAIRS = 0x5555555555555555
 
 _SEED = K.mix(np.arange(1, 2 * FINE + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -130,7 +132,95 @@ def _sets(words: int, hashes: int):
 def _fine(batches):
     for b in batches:
         bits = [packed_bits(minima(np.asarray(x.values, dtype=np.int64).view(np.uint64), FINE)) for x in b.column(2)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.list_(pa.int64()))], names=["id", "n", "bits"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.list_(pa.int64())), b.column(2)], names=["id", "n", "bits", "set"])
+
+
+class _Block:
+    """Rows of a bucket as arrays: ids, components, set sizes, signatures, the rows' bands and, if given, their sets."""
+
+    def __init__(self, ids, comps, sizes, bits, counts, bands, sets=None):
+        self.ids, self.comps, self.sizes = ids, comps, sizes
+        self.bits = bits.view(np.uint64).reshape(len(ids), -1)
+        self.band, self.row = bands, np.repeat(np.arange(len(ids)), counts)
+        self.sets = None if sets is None else np.split(sets.view(np.uint64), np.cumsum(sizes)[:-1])
+
+
+def _likely(a: _Block, b: _Block, band: int, percent: int):
+    """(row of a, rows of b): pairs of different components that pass the bounds of sizes and estimate and share no
+    smaller band, in which they are met. With itself, a block's pairs are met once."""
+    open_ = (a.comps[:, None] != b.comps) & (100 * np.minimum(a.sizes[:, None], b.sizes) >= percent * np.maximum(a.sizes[:, None], b.sizes))
+    if a is b:
+        open_ &= np.tri(len(a.ids), k=-1, dtype=bool).T
+    if not open_.any():
+        return
+    sooner = np.intersect1d(a.band[a.band < band], b.band[b.band < band])
+    if len(sooner):
+        sides = []
+        for x in (a, b):
+            at = np.minimum(np.searchsorted(sooner, x.band), len(sooner) - 1)
+            in_ = sooner[at] == x.band
+            side = np.zeros((len(x.ids), len(sooner)), dtype=np.float32)
+            side[x.row[in_], at[in_]] = 1
+            sides.append(side)
+        open_ &= sides[0] @ sides[1].T == 0
+    chance, least = 1.0 / 2**BITS, margin(percent, FINE)
+    for i in np.flatnonzero(open_.any(axis=1)):
+        j = np.flatnonzero(open_[i])
+        x = a.bits[i] ^ b.bits[j]
+        unequal = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(_PAIRS)).sum(axis=1, dtype=np.int64)
+        j = j[((1.0 - unequal / FINE) - chance) / (1.0 - chance) >= least]
+        if len(j):
+            yield i, j
+
+
+def _links(a: _Block, b: _Block, band: int, percent: int):
+    """A forest of the links between the components of two blocks, confirmed on the full sets."""
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while up.setdefault(c, c) != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    for i, all_j in _likely(a, b, band, percent):
+        own, ends = a.sets[i], np.cumsum(b.sizes[all_j])
+        for j in np.split(all_j, np.flatnonzero(np.diff(ends // LOOKED_UP)) + 1):
+            j = [k for k in j if root(int(a.comps[i])) != root(int(b.comps[k]))]
+            if not j:
+                continue
+            flat = np.concatenate([b.sets[k] for k in j])
+            found = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            shared = np.add.reduceat(found.astype(np.int64), np.cumsum([0, *(len(b.sets[k]) for k in j[:-1])]))
+            for k, n in zip(j, shared, strict=True):
+                ca, cb = root(int(a.comps[i])), root(int(b.comps[k]))
+                if ca != cb and 100 * n >= percent * (len(own) + len(b.sets[k]) - n):
+                    up[ca] = cb
+                    yield int(a.ids[i]), int(b.ids[k])
+
+
+def _compared(percent: int, whole: bool):
+    """Over rows of (band, a block, another block or nulls): the (band, id) of rows with a likely partner, or links (a, b)."""
+    width = 7 if whole else 6
+
+    def run(batches):
+        for t in batches:
+            left, right = [], []
+            for i in range(t.num_rows):
+                band = t.column(0)[i].as_py()
+                side = lambda at: _Block(*(np.asarray(t.column(at + k)[i].values, dtype=np.int64) for k in range(width)))  # noqa: B023, E731
+                a = side(1)
+                b = side(1 + width) if t.column(1 + width)[i].is_valid else a
+                if whole:
+                    pairs = list(_links(a, b, band, percent))
+                    left += [p[0] for p in pairs]
+                    right += [p[1] for p in pairs]
+                else:
+                    near = {int(x) for i, j in _likely(a, b, band, percent) for x in (a.ids[i], *b.ids[j])}
+                    left += [band] * len(near)
+                    right += near
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"] if whole else ["band", "id"])
+
+    return run
 
 
 def margin(percent: int, hashes: int) -> float:
@@ -201,12 +291,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         links, labels = _linked(ws, links, labels, _confirmed(ws, met, sets, hashes, percent, f"round{turn}"), f"round{turn}")
         members = _open(ws, members, labels, f"round{turn}")
     if not members.isEmpty():
-        left = _rest(ws, members, labels, sets, percent)
-        # first the likeliest pair of every two components, then those pairs whose components still differ
-        best = left.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("alike", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b")
-        links, labels = _linked(ws, links, labels, _confirmed(ws, ws.keep(best, "best"), sets, hashes, percent, "best"), "best")
-        still = _labelled(_labelled(left.select("a", "b"), labels, "a", "ca"), labels, "b", "cb").where("ca <> cb").select("a", "b")
-        links, labels = _linked(ws, links, labels, _confirmed(ws, ws.keep(still, "still"), sets, hashes, percent, "still"), "still")
+        new = _rest(ws, members, labels, sets, percent)
+        links, labels = _linked(ws, links, labels, new, "rest")
     found = _labelled(classes, labels, "rep", "component_id") if labels is not None else classes.withColumn("component_id", F.col("rep"))
     out = seen.select("id", *key).join(ws.keep(found.select(*key, "component_id"), "found"), key, "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
@@ -255,18 +341,29 @@ def _open(ws: Workspace, members: DataFrame, labels: DataFrame, name: str) -> Da
 
 
 def _rest(ws: Workspace, members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, ca, cb, alike): pairs of different components in one bucket that pass the estimate: rows outside the
-    bucket's largest component against all its rows, each pair once."""
-    fine = ws.keep(members.select("id").distinct().join(sets.select("id", "n", "set"), "id").mapInArrow(trimmed(_fine), "id long, n long, bits array<long>"), "fine")
+    """Links (a, b) that join all components of each bucket that have a link in it."""
+    fine = ws.keep(members.select("id").distinct().join(sets.select("id", "n", "set"), "id").mapInArrow(trimmed(_fine), "id long, n long, bits array<long>, set array<long>"), "fine")
+    bands = ws.keep(members.groupBy("id").agg(F.collect_set("band").alias("bands")), "bands")  # at most one of each band
     known = ws.keep(_labelled(members, labels, "id", "comp"), "rest")
-    largest = known.groupBy("band", "comp").agg(F.count("*").alias("rows")).groupBy("band").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"))
-    bands = members.groupBy("id").agg(F.collect_set("band").alias("bands"))  # at most one of each band
-    known = ws.keep(known.join(ws.keep(largest, "largest"), "band").withColumn("minor", F.col("comp") != F.col("main")).join(bands, "id").join(fine, "id"), "sides")
-    a = known.where("minor").select("band", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("bits").alias("bx"), F.col("bands").alias("gx"))
-    b = known.select("band", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("bits").alias("by"), F.col("bands").alias("gy"), "minor")
-    unlike = (F.col("cx") != F.col("cy")) & (~F.col("minor") | (F.col("x") < F.col("y")))
-    # a pair that shares several bands is met in the smallest of them
-    once = a["band"] == F.array_min(F.array_intersect("gx", "gy"))
-    met = a.join(b, (a["band"] == b["band"]) & unlike & _alike(F.col("bx"), F.col("by"), F.col("nx"), F.col("ny"), FINE, percent) & once)
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("cx", "cy").alias("ca"), F.greatest("cx", "cy").alias("cb"), estimated(F.col("bx"), F.col("by"), FINE).alias("alike"))
-    return ws.keep(pairs, "left")
+    near = _blocks(ws, known, bands, fine, False).mapInArrow(trimmed(_compared(percent, False)), "band long, id long")
+    near = ws.keep(near.distinct(), "near-rest")
+    likely = ws.keep(known.join(near, ["band", "id"]), "likely")
+    return ws.keep(_blocks(ws, likely, bands, fine, True).mapInArrow(trimmed(_compared(percent, True)), "a long, b long").distinct(), "links-rest")
+
+
+def _blocks(ws: Workspace, known: DataFrame, bands: DataFrame, fine: DataFrame, whole: bool) -> DataFrame:
+    """The rows (band, id, comp) of each bucket in blocks, every two blocks of a bucket once; nulls where a block meets
+    itself. A large bucket's blocks spread over the tasks."""
+    name = "whole" if whole else "bits"
+    counts = known.groupBy("band").agg(F.ceil(F.count("*") / F.lit(WHOLE_BLOCK if whole else BLOCK)).cast("int").alias("blocks"))
+    rows = known.join(ws.keep(counts, f"counts-{name}"), "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = ws.keep(rows, f"dealt-{name}").join(bands, "id").join(fine if whole else fine.drop("set"), "id")
+    entry = F.struct("id", "comp", "n", "bits", "bands", *(["set"] if whole else []))
+    packed = rows.groupBy("band", "block", "blocks").agg(F.collect_list(entry).alias("r"))
+    lists = {"ids": F.col("r.id"), "comps": F.col("r.comp"), "sizes": F.col("r.n"), "bits": F.flatten("r.bits"), "counts": F.transform("r.bands", lambda x: F.size(x).cast("long")), "bands": F.flatten("r.bands")} | ({"sets": F.flatten("r.set")} if whole else {})
+    packed = ws.keep(packed.select("band", "block", "blocks", *(c.alias(n) for n, c in lists.items())), f"packed-{name}")
+    other = packed.select("band", F.col("block").alias("other"), *(F.col(n).alias(f"other_{n}") for n in lists))
+    several = packed.where("block + 1 < blocks").withColumn("other", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)))
+    columns = ["band", *lists, *(f"other_{n}" for n in lists)]
+    alone = packed.select("band", *lists, *(F.lit(None).cast("array<long>").alias(f"other_{n}") for n in lists))
+    return alone.unionByName(several.join(other, ["band", "other"]).select(*columns))

@@ -62,3 +62,16 @@ def test_pairs_of_a_family_grow_as_its_rows(spark, monkeypatch, rows):
 def test_bands_follow_the_similarity():
     for percent in (50, 70, 80, 85, 95, 100):
         assert bands_for(percent) % 8 == 0 and (1 - (percent / 100) ** 4) ** bands_for(percent) <= 1e-6
+
+
+def test_tables_of_the_last_comparison_grow_as_rows(spark, monkeypatch):
+    """Members at 0.8 from one another pass the estimate but are no links; none of their pairs is a row of a table."""
+    met = {}
+    keep = Workspace.keep
+    monkeypatch.setattr(Workspace, "keep", lambda self, df, name: met.setdefault(name, keep(self, df, name)))
+    base = [f"w{k}" for k in range(120)]
+    docs = [(i, " ".join(f"x{i}" if k in (20 + i % 3, 60 + i % 5, 100 + i % 7) else w for k, w in enumerate(base)) + f" y{i} z{i} v{i} u{i}") for i in range(300)]
+    got = near_duplicate_groups(spark.createDataFrame(docs, "doc_id long, text string"), words=3, percent=85)
+    assert {r[0]: tuple(r[1:]) for r in got.collect()} == brute.groups(docs, 3, 85)
+    assert "links-rest" in met
+    assert all(met[n].count() <= 300 * bands_for(85) for n in met)
