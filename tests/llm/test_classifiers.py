@@ -100,6 +100,19 @@ def test_votes_equal_brute_force():
         assert got[i] == pytest.approx(want, abs=0.02)
 
 
+def test_scores_do_not_depend_on_the_texts_beside():
+    """A text has the same score to the last bit alone, at any place of a block and in blocks of any size; equally near
+    voters are taken by their place."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["a", "Bc", "d!", "12", "e\nf", "ghi", "k"], size=rng.integers(1, 40))) for _ in range(600)]
+    labels = rng.integers(0, 2, 1200)
+    model = quality.fit(quality.features(pa.array(texts + texts)), labels)
+    want = [model.scores(pa.array([t]))[0] for t in texts]
+    for shift, size in ((0, 2), (0, 3), (1, 7), (5, 64), (3, 511), (0, 600)):
+        got = np.concatenate([model.scores(pa.array(texts[lo : lo + size])) for lo in range(shift, len(texts), size)])
+        assert got.tolist() == want[shift:]
+
+
 @pytest.mark.parametrize("unit", ["some words of a line that repeats\n", "one two three four five six seven eight nine ten "])
 def test_repetition_does_not_depend_on_the_length(unit):
     """A text whose second half repeats its first has half its words and lines repeated, beyond any window's size too."""
