@@ -10,16 +10,17 @@ from __future__ import annotations
 
 import os
 import re
-import string
 import zlib
 from array import array
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkwright.llm import textkernel as K
 from sparkwright.llm.toxicity import _parts
 from sparkwright.llm.workspace import Workspace, ship, sized, small_batches, trimmed
 
@@ -27,12 +28,14 @@ from sparkwright.llm.workspace import Workspace, ship, sized, small_batches, tri
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
 #: Words whose ids a worker remembers (about 200 bytes each).
 CACHED_WORDS = 300_000
+#: Bytes of texts cut at once, and words that the model is given at once.
+SLICE, TOGETHER = 4 << 20, 16_384
 #: White space before a space or a line feed.
 _RUN = re.compile(r"\s[ \n]")
-_ASCII_RUNS = tuple(a + b for a in " \n\t\r\v\f\x1c\x1d\x1e\x1f" for b in " \n")
-#: Letters of Latin scripts up to U+024F; ASCII punctuation.
-_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
-_MARKS = string.punctuation
+_ASCII_BLANK = np.zeros(256, dtype=bool)
+_ASCII_BLANK[[*range(9, 14), *range(28, 33)]] = True
+#: Letters of Latin scripts up to U+024F, then ASCII punctuation.
+_LATIN = r"\A(?P<base>[A-Za-z\x{00c0}-\x{00d6}\x{00d8}-\x{00f6}\x{00f8}-\x{024f}]+)(?P<tail>[!-/:-@\[-`{-~]*)\z"
 #: Appended to every document.
 END_ID = 2
 WRITE_OPTIONS = {
@@ -53,7 +56,8 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-_LETTERS = _byte_letters()
+#: Code points of the letters; a line feed stays itself, between words.
+_BYTE_LETTERS = np.array([10 if b == 10 else ord(c) for b, c in sorted(_byte_letters().items())], dtype="<u4")
 
 
 class WordCache(dict):
@@ -62,13 +66,19 @@ class WordCache(dict):
 
     A byte-level pre-tokenizer always starts a token at a space or line feed that follows a non-space, and its pattern
     looks back at nothing; so a text that is cut there encodes piece by piece to the same ids. Texts with white space
-    before one of the two are encoded whole. For the same reason the unknown words of a batch are encoded as one text,
-    whose ids are cut where a token starts with the lead; words of Latin letters go to the model itself. Punctuation after a word of Latin letters is a token of its
-    own. At most ``size`` words are kept, in two generations.
+    before one of the two are encoded whole, as are all texts of another kind of tokenizer. Arrow cuts the texts of a
+    batch and gives each distinct word a number, so only distinct words are Python objects.
+
+    For the same reason the unknown words of a batch are encoded as one text, whose ids are cut where a token starts
+    with the lead. A word of Latin letters is one token of the pre-tokenizer, and punctuation after it another; so these
+    words go to the tokenizer's model without the pattern, and are kept without the marks behind them. Each of two
+    generations holds at most ``size`` words, the younger one begins anew after half of that.
     """
 
     def __init__(self, tokenizer, size: int = CACHED_WORDS):
-        self.tokenizer, self.size, self.older, self.tails = tokenizer, size, {}, {}
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.size, self.older, self.tails = tokenizer, size, {}, {"": b""}
         # the byte-level letters of a space and of a line feed
         self._plain = type(tokenizer.pre_tokenizer).__name__ == "ByteLevel" and tokenizer.normalizer is None
         vocabulary = tokenizer.get_vocab()
@@ -76,65 +86,128 @@ class WordCache(dict):
         for token, i in vocabulary.items():
             for lead, letter in ((" ", "\u0120"), ("\n", "\u010a")):
                 self._starts[lead][i] = token.startswith(letter)
+        # the same model on byte-level letters, one word a line
+        self._lines = Tokenizer(tokenizer.model)
+        self._lines.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _cut(self, tokenizer, text: str, lead: str, words: int) -> list[bytes] | None:
+        """Ids of the words of a text; None if not just their first tokens start with the lead."""
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<i4")
+        at = np.flatnonzero(self._starts[lead][ids])
+        if len(at) != words or (words and at[0]):
+            return None
+        raw, cuts = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+        return [raw[i:j] for i, j in pairwise(cuts)]
+
     def _together(self, words: list[str], lead: str) -> list[bytes]:
         """Ids of words that all follow the lead (which is not in the words)."""
-        if words and self._plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([lead + lead.join(words)], add_special_tokens=False)[0].ids, dtype="<i4")
-            at = np.flatnonzero(self._starts[lead][ids])
-            if len(at) == len(words):
-                raw, cuts = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
-                return [raw[i:j] for i, j in pairwise(cuts)]
-        return self._encode([lead + w for w in words])
-
-    def _learn(self, words: set[str]) -> None:
-        older = self.older
-        self.update({w: older[w] for w in words if w in older})
-        new = [w for w in words if w not in older]
-        lines = [w[1:] for w in new if w[:1] == "\n"]
-        plain = [w for w in new if w[:1] != "\n"]
-        tailed: list[tuple[str, str]] = []
-        if self._plain:
-            bare = [w.rstrip(_MARKS) for w in plain]
-            tailed = [(w, base) for w, base in zip(plain, bare, strict=True) if len(base) < len(w) and _LATIN(base)]
-            bases = {base for _, base in tailed}.difference(self)
-            self.update({w: older[w] for w in bases if w in older})
-            plain = {w for w, base in zip(plain, bare, strict=True) if len(base) == len(w) or not _LATIN(base)}.union(w for w in bases if w not in older)
-        # a word without characters, at a text's end, is the lead alone
-        if "" in plain:
-            self[""] = self._encode([" "])[0]
-        # a word of Latin letters alone is one token of the pre-tokenizer, so the model can encode it without that
-        latin = [w for w in plain if _LATIN(w)] if self._plain else []
-        model = self.tokenizer.model.tokenize
-        self.update({w: array("i", [t.id for t in model("\u0120" + (w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS)))]).tobytes() for w in latin})
-        plain = [w for w in set(plain).difference(latin) if w]
-        self.update(zip(plain, self._together(plain, " "), strict=True))
-        self.update(zip(["\n" + w for w in lines], self._together(lines, "\n"), strict=True))
-        tails = list({w[len(base) :] for w, base in tailed}.difference(self.tails))
-        self.tails.update(zip(tails, self._encode(tails), strict=True))
-        self.update({w: self[base] + self.tails[w[len(base) :]] for w, base in tailed})
+        found = self._cut(self.tokenizer, lead + lead.join(words), lead, len(words)) if words else []
+        return self._encode([lead + w for w in words]) if found is None else found
+
+    def _latin(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters, led by a space."""
+        out: list[bytes] = []
+        for lo in range(0, len(words), TOGETHER):
+            some = words[lo : lo + TOGETHER]
+            letters = _BYTE_LETTERS[np.frombuffer((" " + "\n ".join(some)).encode(), dtype=np.uint8)].tobytes().decode("utf-32-le")
+            found = self._cut(self._lines, letters, " ", len(some))
+            out += self._together(some, " ") if found is None else found
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _known(self, words: list[str], learn) -> list[bytes]:
+        """Ids of distinct words; those that aren't remembered are learnt."""
+        out: list = list(map(self.get, words))
+        lost = [w for w, known in zip(words, out, strict=True) if known is None]
+        found = {w: known for w, known in zip(lost, map(self.older.get, lost), strict=True) if known is not None}
+        new = [w for w in lost if w not in found]
+        found.update(zip(new, learn(new), strict=True))
+        self.update(islice(found.items(), max(0, self.size - len(self))))
+        take = found.__getitem__
+        return [take(w) if known is None else known for w, known in zip(words, out, strict=True)]
+
+    def _others(self, words: list[str]) -> list[bytes]:
+        """Ids of words led by a space unless they start with a line feed."""
+        # a word without characters, at a text's end, is the lead alone
+        found = {"": self._encode([" "])[0]} if "" in words else {}
+        for lead in " \n":
+            own = [w for w in words if w and (w[0] == "\n") == (lead == "\n")]
+            found.update(zip(own, self._together([w.removeprefix("\n") for w in own], lead), strict=True))
+        return [found[w] for w in words]
+
+    def _ids(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Ids of distinct words in an order of their own, and the place of each word in it."""
         if len(self) > self.size // 2:
             self.older = dict(self)
             self.clear()
-            self.tails.clear()
-        out: list = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if (any(r in t for r in _ASCII_RUNS) if t.isascii() else _RUN.search(t))]
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        cut = [(i, *t.replace("\n", " \n").split(" ")) for i, t in enumerate(texts) if out[i] is None]
-        words: set[str] = set()
-        for _, _, *rest in cut:
-            words.update(rest)
-        self._learn(words.difference(self))
-        known = self.__getitem__
-        for (i, _, *rest), head in zip(cut, self._encode([c[1] for c in cut]), strict=True):
-            out[i] = head + b"".join(map(known, rest)) if rest else head
-        return out
+        if len(self.tails) > self.size // 8:
+            self.tails = {"": b""}
+        parts = pc.extract_regex(words, _LATIN)
+        latin = parts.is_valid().to_numpy(zero_copy_only=False)
+        parts = parts.drop_null()
+        base, tail = (pc.struct_field(parts, k).dictionary_encode() for k in ("base", "tail"))
+        marks = tail.dictionary.to_pylist()
+        new = [m for m in marks if m not in self.tails]
+        self.tails.update(zip(new, self._encode(new), strict=True))
+        bases = pa.array(self._known(base.dictionary.to_pylist(), self._latin), pa.large_binary())
+        tails = pa.array([self.tails[m] for m in marks], pa.large_binary())
+        whole = pc.binary_join_element_wise(bases.take(base.indices), tails.take(tail.indices), pa.scalar(b"", pa.large_binary()))
+        other = pa.array(self._known(words.filter(pa.array(~latin)).to_pylist(), self._others), pa.large_binary())
+        return pa.concat_arrays([whole, other]), np.where(latin, np.cumsum(latin) - 1, len(whole) + np.cumsum(~latin) - 1)
+
+    def lists(self, column: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Bounds (n + 1) and ids of the texts of a string column (null: empty), with the end's ids behind each text."""
+        texts = pc.fill_null(column, "")
+        n = len(texts)
+        whole = np.flatnonzero(_has_runs(texts)) if self._plain else np.arange(n)
+        alone = texts.take(pa.array(whole)).to_pylist()
+        if self._plain:
+            kept = [i for i, t in enumerate(alone) if _RUN.search(t)]
+            whole, alone = whole[kept], [alone[i] for i in kept]
+        if len(whole):
+            mark = np.zeros(n, dtype=bool)
+            mark[whole] = True
+            texts = pc.if_else(pa.array(mark), "", texts)
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        at = words.offsets.to_numpy().astype(np.int64)
+        flat = words.flatten()
+        # the words that texts begin with have no lead
+        heads = flat.take(pa.array(at[:-1])).to_pylist()
+        for i, t in zip(whole.tolist(), alone, strict=True):
+            heads[i] = t
+        numbered = flat.dictionary_encode()
+        codes = numbered.indices.to_numpy()
+        led = np.ones(len(codes), dtype=bool)
+        led[at[:-1]] = False
+        used = np.zeros(len(numbered.dictionary), dtype=bool)
+        used[codes[led]] = True
+        own, place = self._ids(numbered.dictionary.filter(pa.array(used)))
+        number = np.zeros(len(used), dtype=np.int64)
+        number[used] = place
+        codes = number[codes]
+        codes[at[:-1]] = len(own) + np.arange(n)
+        codes = np.insert(codes, at[1:], len(own) + n)
+        got = pa.concat_arrays([own, pa.array([*self._encode(heads), end], pa.large_binary())]).take(pa.array(codes))
+        bounds = np.frombuffer(got.buffers()[1], dtype=np.int64)[: len(codes) + 1][at + np.arange(n + 1)] // 4
+        return bounds, np.frombuffer(got.buffers()[2] or b"", dtype="<i4")[: bounds[-1]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        bounds, ids = self.lists(pa.array(texts, pa.string()))
+        return [ids[i:j].tobytes() for i, j in pairwise(bounds.tolist())]
+
+
+def _has_runs(texts: pa.Array) -> np.ndarray:
+    """Whether white space may stand before a space or line feed of a text: surely where it does, and after few other
+    characters of more than one byte."""
+    data, offsets = K.column_bytes(texts)
+    at = np.flatnonzero((data == 32) | (data == 10))
+    one, two, three = (data[np.maximum(at - k, 0)] for k in (1, 2, 3))
+    at = at[_ASCII_BLANK[one] | (two == 0xC2) | (three >= 0xE1) & (three <= 0xE3)]
+    out = np.zeros(len(texts), dtype=bool)
+    out[np.searchsorted(offsets, at, "right") - 1] = True
+    return out
 
 
 #: One cache for each tokenizer file in a Python worker, which Spark uses for many tasks.
@@ -156,10 +229,9 @@ def _encoder(path: str, end_id: int):
     def run(batches):
         cache = _cache(path)
         for b in batches:
-            for part in _parts(b, 1 << 20):
-                ids = [x + end for x in cache.encode([t or "" for t in part.column(1).to_pylist()])]
-                bounds = np.cumsum([0, *(len(x) // 4 for x in ids)])
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+            for part in _parts(b, SLICE):
+                bounds, ids = cache.lists(part.column(1), end)
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(bounds), pa.int64())], names=["doc_id", "ids", "n_tokens"])
 
     return run

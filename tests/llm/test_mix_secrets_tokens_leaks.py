@@ -1,7 +1,9 @@
 import random
 import zlib
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -207,6 +209,32 @@ def test_words_are_encoded_as_in_their_texts():
         assert [list(memoryview(x).cast("i")) for x in cache.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_a_word_is_kept_once_whatever_marks_follow():
+    """Words of Latin letters are learnt and kept without the marks behind them; ids equal those of whole texts, also for
+    nulls, empty columns, slices, end ids and every kind of white space before a space or line feed."""
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    cache = token_output.WordCache(t)
+    learnt, model = [], cache._latin
+    cache._latin = lambda words: learnt.extend(words) or model(words)
+    words = [f"{a}{b}" for a in ("über", "word", "Ñandú", "thing", "ƻa") for b in ("ab", "Éc", "ion")]
+    marks = ["", ",", ".", "!?", "###", "'", "\\", "]", "-"]
+    blanks = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    assert all(b.isspace() for b in blanks)
+    texts = [" ".join(random.Random(i).choice(words) + random.Random(-i).choice(marks) for i in range(k, k + 20)) for k in range(200)]
+    texts += [f"a{b}{c}word" for b in blanks for c in " \n"] + [f"{c}{b}word" for b in blanks for c in " \n"] + ["", None, " ", "a ", "a\n", "\n", "x" * 9000, "a\x00b c\x00"]
+    column = pa.array(["skipped " * 3, *texts])[1:]
+    for _ in range(2):
+        bounds, ids = cache.lists(column, b"\2\0\0\0")
+        got = [ids[i:j].tolist() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+        assert got == [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
+    assert len(learnt) == len(set(learnt)) and set(words) <= set(learnt) <= {*words, "word"} and not any(w[-1:] in ",.!#" for w in cache if w)
+    for few in ([], [None], [""], ["one"], ["one two"], ["1 2"]):
+        bounds, ids = cache.lists(pa.array(few, pa.string()))
+        assert ids.tolist() == [i for x in few for i in t.encode(x or "", add_special_tokens=False).ids] and len(bounds) == len(few) + 1
+    large, same = (cache.lists(pa.array(texts, kind)) for kind in (pa.large_string(), pa.string()))
+    assert all(np.array_equal(a, b) for a, b in zip(large, same, strict=True))
+
+
 def test_leaks_with_substitutions(spark):
     random.seed(2)
     word = lambda: "".join(random.choices("abcdefghij", k=5))
